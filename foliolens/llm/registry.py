@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from foliolens.llm import lookalike
+from foliolens.llm import encoding, lookalike, packing, splitting
 
 
 def queries():
     return {
+        "p5_found": splitting.p5_found,
+        "p5_pieces": splitting.p5_pieces,
         "p7_found": lookalike.p7_found,
         "p7_forms": lookalike.p7_forms,
+        "p8_ids": encoding.p8_ids,
+        "p9_containers": packing.p9_containers,
     }
 
 
 def oracle_sql():
-    return {"p7_found": lookalike.p7_oracle()}
+    return {
+        "p5_found": splitting.P5_FOUND_SQL,
+        "p7_found": lookalike.p7_oracle(),
+    }
