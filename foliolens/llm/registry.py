@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from foliolens.llm import encoding, lookalike, packing, splitting
+from foliolens.llm import encoding, lookalike, packing, scans, sentences, splitting, stuffing
 
 
 def queries():
     return {
+        "p3_found": sentences.p3_found,
+        "p3_sentences": sentences.p3_sentences,
+        "p4_found": scans.p4_found,
+        "p4_texts": scans.p4_texts,
         "p5_found": splitting.p5_found,
         "p5_pieces": splitting.p5_pieces,
         "p7_found": lookalike.p7_found,
         "p7_forms": lookalike.p7_forms,
         "p8_ids": encoding.p8_ids,
         "p9_containers": packing.p9_containers,
+        "p10_found": stuffing.p10_found,
+        "p10_shapes": stuffing.p10_shapes,
     }
 
 
