@@ -469,7 +469,7 @@ def sentence_units(docs: DataFrame, key: str, text: str, counts: DataFrame) -> D
         for batch in batches:
             rows = []
             for k, t, stats in zip(batch["k"], batch["t"], batch["stats"], strict=True):
-                corpus = {s["token"]: s["n"] for s in stats} if stats is not None else {}
+                corpus = {s["token"]: [int(x) for x in s["n"]] for s in stats} if stats is not None else {}
                 units = Splitter(evidence(t), corpus).units(t)
                 rows += [(k, n, s + 1, e, t[s:e]) for n, (s, e) in enumerate(units, 1)]
             yield pd.DataFrame(rows, columns=["k", "unit", "start_pos", "end_pos", "sentence"])
