@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from foliolens.llm import encoding, lookalike, packing, scans, sentences, splitting, stuffing
+from foliolens.llm import canonical, encoding, lookalike, packing, scans, sentences, splitting, stuffing
 
 
 def queries():
     return {
+        "p2_found": canonical.p2_found,
+        "p2_unmatched": canonical.p2_unmatched,
         "p3_found": sentences.p3_found,
         "p3_sentences": sentences.p3_sentences,
         "p4_found": scans.p4_found,
