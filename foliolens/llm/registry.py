@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliolens.llm import canonical, encoding, lookalike, packing, scans, sentences, splitting, stuffing
+from foliolens.llm import canonical, encoding, lookalike, names, packing, scans, sentences, splitting, stuffing
 
 
 def queries():
@@ -15,6 +15,8 @@ def queries():
         "p4_texts": scans.p4_texts,
         "p5_found": splitting.p5_found,
         "p5_pieces": splitting.p5_pieces,
+        "p6_found": names.p6_found,
+        "p6_names": names.p6_names,
         "p7_found": lookalike.p7_found,
         "p7_forms": lookalike.p7_forms,
         "p8_ids": encoding.p8_ids,
