@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from foliolens.llm import canonical, encoding, lookalike, names, packing, scans, sentences, splitting, stuffing
+from foliolens.llm import canonical, encoding, entities, lookalike, names, packing, scans, sentences, splitting, stuffing
 
 
 def queries():
     return {
+        "p1_found": entities.p1_found,
+        "p1_links": entities.p1_links,
         "p2_found": canonical.p2_found,
         "p2_unmatched": canonical.p2_unmatched,
         "p3_found": sentences.p3_found,
