@@ -88,6 +88,8 @@ def written(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
+    # the shuffle files behind the table are let go when the driver collects its garbage
+    sc._jvm.System.gc()
     return spark.read.parquet(path)
 
 
