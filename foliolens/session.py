@@ -84,7 +84,7 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="foliolens-tables-")
     path = f"{base}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
