@@ -84,11 +84,12 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="foliolens-tables-")
     path = f"{base}/table-{uuid.uuid4().hex}"
+    # shuffle files of earlier steps are let go when the driver collects its garbage
+    sc._jvm.System.gc()
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    # the shuffle files behind the table are let go when the driver collects its garbage
     sc._jvm.System.gc()
     return spark.read.parquet(path)
 
