@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliolens.llm.lookalike import normalised, skeleton
-from foliolens.session import ship, table
+from foliolens.session import ship, table, written
 
 THRESHOLD = 0.4
 # Words that titles of journals have or lack at will.
@@ -172,17 +172,19 @@ def similarity_join(values: DataFrame, entries: DataFrame, threshold: float = TH
     def ranked(s: pd.Series) -> pd.Series:
         return s.map(lambda k: sorted(rank[g] for g in grams(k)))
 
+    def sets(df, *cols):
+        return df.withColumn("set", ranked("key")).where("size(set) > 0").select(*cols, "set", F.size("set").alias("n"))
+
     def prefixes(df, *cols):
-        n = F.size("set")
-        keep = n - F.ceil(n * threshold).cast("int") + 1
-        return (
-            df.withColumn("set", ranked("key"))
-            .where("size(set) > 0")
-            .select(*cols, "set", n.alias("n"), F.posexplode(F.slice("set", 1, keep)).alias("pos", "gram"))
-        )
-
-    v = prefixes(values.select("key"), "key").withColumnsRenamed({"set": "v_set", "n": "v_n", "pos": "v_pos"})
-    e = prefixes(entries.select("rid", "key"), "rid").withColumnsRenamed({"set": "e_set", "n": "e_n", "pos": "e_pos"})
+        keep = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
+        return df.select(*cols, "n", F.posexplode(F.slice("set", 1, keep)).alias("pos", "gram"))
+
+    # dealt out evenly before the sets multiply
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    v_sets = written(sets(values.select("key").repartition(parts, "key"), "key"))
+    e_sets = sets(entries.select("rid", "key"), "rid")
+    v = prefixes(v_sets, "key").withColumnsRenamed({"n": "v_n", "pos": "v_pos"})
+    e = prefixes(e_sets, "rid").withColumnsRenamed({"n": "e_n", "pos": "e_pos"})
     need = F.ceil(threshold / (1 + threshold) * (F.col("v_n") + F.col("e_n")))
     close = (
         (F.col("v_n") >= threshold * F.col("e_n"))
@@ -192,8 +194,8 @@ def similarity_join(values: DataFrame, entries: DataFrame, threshold: float = TH
     )
     small = e.select("gram", "rid", "e_n", "e_pos")
     pairs = v.select("gram", "key", "v_n", "v_pos").join(small, "gram").where(close).select("key", "rid").distinct()
-    sets_v = v.where("v_pos = 0").select("key", "v_set", "v_n")
-    sets_e = e.where("e_pos = 0").select("rid", "e_set", "e_n")
+    sets_v = v_sets.select("key", F.col("set").alias("v_set"), F.col("n").alias("v_n"))
+    sets_e = e_sets.select("rid", F.col("set").alias("e_set"), F.col("n").alias("e_n"))
     shared = F.size(F.array_intersect("v_set", "e_set"))
     return (
         pairs.join(sets_v, "key")
@@ -225,7 +227,8 @@ def mapped(values: DataFrame, column: str, entries: DataFrame, threshold: float
     def agrees(key: pd.Series, full: pd.Series) -> pd.Series:
         return pd.Series([agreement(k, f) for k, f in zip(key, full, strict=True)], dtype="float64")
 
-    distinct = values.select(F.col(column).alias("value")).where(F.col("value").rlike(r"(?U)\S")).distinct().withColumn("key", keyed("value"))
+    named = values.select(F.col(column).alias("value")).where(F.col("value").rlike(r"(?U)\S")).distinct()
+    distinct = written(named.withColumn("key", keyed("value")))
     keys = distinct.select("key").where("key <> ''").distinct()
     listed = (
         entries.where("name is not null")
