@@ -26,32 +26,44 @@ class Trie:
 
 
 def within(trie: Trie, query: str, bound: int) -> dict:
-    """{payload: distance} of the words within `bound` edits (insert, delete, change, swap of neighbours)."""
-    out: dict = {}
+    """{payload: distance} of the words within `bound` edits (insert, delete, change, swap of neighbours).
+
+    The automaton's states are sets of query positions, one set for each number of edits,
+    kept as the bits of integers, and a set of swaps half read: one step takes a handful
+    of operations.
+    """
     n = len(query)
-    first = list(range(n + 1))
-    stack = [(trie.root, "", first, None)]
+    full = (2 << n) - 1
+    goal = 1 << n
+    match: dict[str, int] = {}
+    for i, ch in enumerate(query):
+        match[ch] = match.get(ch, 0) | 2 << i
+    out: dict = {}
+    stack = [(trie.root, [(2 << k) - 1 & full for k in range(bound + 1)], [0] * bound)]
     while stack:
-        node, last, row, above = stack.pop()
+        node, states, swaps = stack.pop()
         for ch, child in node.items():
             if ch == "":
-                if row[n] <= bound:
-                    for payload in child:
-                        if row[n] < out.get(payload, bound + 1):
-                            out[payload] = row[n]
+                for k, r in enumerate(states):
+                    if r & goal:
+                        for payload in child:
+                            if k < out.get(payload, bound + 1):
+                                out[payload] = k
+                        break
                 continue
-            new = [row[0] + 1]
-            least = new[0]
-            for i in range(1, n + 1):
-                q = query[i - 1]
-                v = row[i - 1] if q == ch else 1 + min(row[i - 1], row[i], new[i - 1])
-                if above is not None and i > 1 and q == last and query[i - 2] == ch and above[i - 2] + 1 < v:
-                    v = above[i - 2] + 1
-                new.append(v)
-                if v < least:
-                    least = v
-            if least <= bound or (above is not None and min(row) <= bound - 1) or min(row) <= bound - 1:
-                stack.append((child, ch, new, row))
+            m = match.get(ch, 0)
+            ahead = m >> 2
+            before = states[0]
+            r = before << 1 & m
+            new, half = [r], []
+            for k in range(1, bound + 1):
+                here = states[k]
+                half.append(before & ahead)
+                r = (here << 1 & m | before | (before | r) << 1 | (swaps[k - 1] << 1 & m) << 1) & full
+                new.append(r)
+                before = here
+            if r or any(half):
+                stack.append((child, new, half))
     return out
 
 
