@@ -13,8 +13,9 @@ def scored(modes: DataFrame) -> DataFrame:
     A null metric costs 15.
     """
     rank = F.when(F.col("status") == "PASS", 2).when(F.col("status") == "WARN", 1).otherwise(0)
-    spot = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("spot_ratio"))) * 40, F.lit(-15.0))
-    diff = F.coalesce(-F.greatest(F.lit(0.0), F.col("word_diff")) * 2, F.lit(-15.0))
+    # greatest() and least() pass over nulls, so these are asked for first
+    spot = F.when(F.col("spot_ratio").isNull(), -15.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("spot_ratio"))) * 40)
+    diff = F.when(F.col("word_diff").isNull(), -15.0).otherwise(-F.greatest(F.lit(0.0), F.col("word_diff")) * 2)
     return modes.withColumn("score", rank * 100 + spot + diff - F.col("warnings") * 6 - F.col("failures") * 20 + F.col("refs") * 0.2)
 
 
@@ -35,7 +36,7 @@ def failed(modes: DataFrame) -> DataFrame:
 
 def metric(col, precision: int):
     """A metric as text: n/a for null."""
-    return F.coalesce(F.format_string(f"%.{precision}f", col.cast("double")), F.lit("n/a"))
+    return F.when(col.isNull(), "n/a").otherwise(F.format_string(f"%.{precision}f", col.cast("double")))
 
 
 def confidence_gate(found: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def precision_tiers(found: DataFrame) -> DataFrame:
 
 def comparison(modes: DataFrame, most: int = 20) -> DataFrame:
     """(doc_id, report): a Markdown table of the scored modes, best first."""
-    row = F.concat_ws(" | ", F.lit("|"), "mode", "status", metric(F.col("score"), 2), metric(F.col("word_diff"), 2), metric(F.col("spot_ratio"), 3), F.lit("|"))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", "mode", "status", metric(F.col("score"), 2), metric(F.col("word_diff"), 2), metric(F.col("spot_ratio"), 3)), F.lit(" |"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "mode_ord")
     rows = modes.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).withColumn("row", row)
     return rows.groupBy("doc_id").agg(F.expr("listagg(row, '\\n') within group (order by r)").alias("report"))

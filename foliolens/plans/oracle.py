@@ -168,8 +168,8 @@ CTES = {
   SELECT *, words > 0 AND page_count >= 3 AND words < 150 AS low, nonempty_pages / page_count < 0.5 AS sparse FROM (SELECT doc_id, count(*) AS page_count,
    count(*) FILTER (WHERE {trim("text")} <> '') AS nonempty_pages, sum({count("text", t.WORDS_LETTER)})::BIGINT AS words FROM pages GROUP BY doc_id))""",
     "ref_counts": "SELECT paper_id AS doc_id, count(*) AS refs FROM refs GROUP BY paper_id",
-    "modes": """SELECT *, CASE status WHEN 'PASS' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END * 100 + coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, spot_ratio)) * 40, -15.0::DOUBLE)
-   + coalesce(-greatest(0.0::DOUBLE, word_diff) * 2, -15.0::DOUBLE) - warnings * 6 - failures * 20 + refs * 0.2::DOUBLE AS score FROM (
+    "modes": """SELECT *, CASE status WHEN 'PASS' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END * 100 + CASE WHEN spot_ratio IS NULL THEN -15.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, spot_ratio)) * 40 END
+   + CASE WHEN word_diff IS NULL THEN -15.0::DOUBLE ELSE -greatest(0.0::DOUBLE, word_diff) * 2 END - warnings * 6 - failures * 20 + refs * 0.2::DOUBLE AS score FROM (
   SELECT c.doc_id, m.mode, m.o AS mode_ord, c.status, c.word_diff_pct AS word_diff, CASE WHEN m.o = 1 AND spot_checked > 0 THEN spot_hits / spot_checked END AS spot_ratio,
    len(list_filter(string_split(warnings, ','), lambda x: x <> '')) AS warnings, len(list_filter(string_split(failures, ','), lambda x: x <> '')) AS failures, coalesce(refs, 0) AS refs
   FROM conversion c CROSS JOIN (VALUES ('chunked', 1), ('no-chunk', 2)) m(mode, o) LEFT JOIN ref_counts USING (doc_id)

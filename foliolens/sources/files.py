@@ -11,7 +11,7 @@ PDF_MAGIC = "255044462D"
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, md): whole Markdown files."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("md"))
+    return spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("md"))
 
 
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +44,7 @@ def pdf_pages(pdfs: DataFrame) -> DataFrame:
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """One row a reference of JSON files that hold lists; authors may be a list or a string."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.format("text").option("wholetext", True).load(path)
     item = "array<struct<title:string,authors:string,year:string,doi:string,journal:string,raw_text:string>>"
     return (
         raw.select(F.posexplode(F.from_json("value", item)).alias("p", "r"))
