@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliolens.llm.encoding import TOKENIZERS, VOCABULARY, encoded
-from foliolens.session import ship, table
+from foliolens.session import ship, table, written
 
 CAPACITY = 2048
 SHARD_ITEMS = 20_000
@@ -87,7 +87,7 @@ def packed(items: DataFrame, item: str, size: str, n_items: int, capacity: int =
         return pdf.assign(bin=_pack(pdf, capacity))
 
     some = cut.where("size > 0").select("item", "piece", "size", shard.alias("shard"))
-    one = some.groupBy("shard").applyInPandas(first, done)
+    one = written(some.groupBy("shard").applyInPandas(first, done))
     group = F.floor(F.col("shard") / SECOND_SHARDS).cast("int")
     kept = one.where("not again").select("item", "piece", "size", F.format_string("a%d-%d", "shard", "bin").alias("container"))
     two = (
@@ -107,6 +107,6 @@ def p9_containers(spark, sf_dir, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> Da
     Null and empty texts have no tokens: one row with n_tokens 0 and a null container.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sizes = encoded(docs, "text", path=path).select("doc_id", F.size("ids").alias("n"))
-    out = packed(sizes, "doc_id", "n", docs.count())
+    sizes = written(encoded(docs, "text", path=path).select("doc_id", F.size("ids").alias("n")))
+    out = packed(sizes, "doc_id", "n", sizes.count())
     return out.select(F.col("item").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), "container")

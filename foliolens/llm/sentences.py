@@ -180,6 +180,8 @@ class Splitter:
                 return True
             if noper > per and noper > 3 * inner:
                 return False
+        if len(a) == 4 and a[0].islower() and not self._stat(a, 1):
+            return False  # a short word of which nothing else is known
         return len(a) <= 4 and noper <= 0.3 * per
 
     def ends_sentences(self, a: str) -> bool:

@@ -110,7 +110,8 @@ class Line:
         parts = segments(rest)
         seps = len(parts) - 1
         full = self.weight >= 3 and bool(_END.search(rest)) or bool(_SENTENCE_INSIDE.search(rest))
-        self.sentence = full and seps < 6
+        # a list may end in a period; in prose the separators are shared by several sentences
+        self.sentence = full and seps < 6 * max(1, len(_SENTENCE_INSIDE.findall(rest)))
         self.figures = len(re.findall(r"\d+", rest))
         caps = sum(w[:1].isupper() for w in rest.split())
         bucket = lambda n: n if n < 3 else 3 if n < 8 else 8 if n < 20 else 20
