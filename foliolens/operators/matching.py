@@ -25,16 +25,31 @@ def doi_matches(refs: DataFrame, records: DataFrame) -> DataFrame:
     return a.join(b, "d").select("ref_id", "record_id")
 
 
-def similarity(a, b):
-    """Ratcliff-Obershelp ratio of two columns of loose titles, the first one leading; an Arrow UDF."""
+def similarity(a, b, least):
+    """Ratcliff-Obershelp ratio of two columns of loose titles, the first one leading; an Arrow UDF.
+
+    Where the ratio's upper bounds stay below `least`, a column, 0 stands for it.
+    """
 
     @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+    def ratio(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([1.0 if p == q else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+        known: dict[tuple[str, str, float], float] = {}
+        out = []
+        for key in zip(x, y, z, strict=True):
+            if (r := known.get(key)) is None:
+                p, q, t = key
+                if p == q:
+                    r = 1.0
+                else:
+                    m = SequenceMatcher(None, p, q)
+                    r = m.ratio() if m.real_quick_ratio() >= t and m.quick_ratio() >= t else 0.0
+                known[key] = r
+            out.append(r)
+        return pd.Series(out, dtype="float64")
 
-    return ratio(a, b)
+    return ratio(a, b, least)
 
 
 def lookup(refs: DataFrame, records: DataFrame) -> DataFrame:
@@ -63,7 +78,7 @@ def lookup(refs: DataFrame, records: DataFrame) -> DataFrame:
     near = a.join(b, "block").where(bound & (F.col("h1") == F.col("h2"))).withColumn("shared", shared).dropDuplicates(["ref_id", "record_id"])
     top = Window.partitionBy("ref_id", "tier").orderBy(F.desc("shared"), "record_id")
     near = near.withColumn("rank", F.row_number().over(top)).where("rank <= 5").select("ref_id", "record_id", "tier", "t", "u", F.lit(0).alias("exact"))
-    scored = by_doi.unionByName(near).withColumn("s", similarity("t", "u"))
+    scored = by_doi.unionByName(near).withColumn("s", similarity("t", "u", F.when(F.col("exact") == 1, 0.0).otherwise(REVIEW)))
     scored = scored.withColumn("similarity", F.when((F.col("exact") == 1) & ((F.col("t") == "") | (F.col("u") == "")), 1.0).otherwise(F.col("s")))
     best = Window.partitionBy("ref_id", "tier").orderBy(F.desc("exact"), F.desc("similarity"), "record_id")
     return (

@@ -79,9 +79,10 @@ def _bounds(docs: str, col: str) -> str:
     return f"SELECT doc_id, coalesce({good(col)}[1], '') AS first_paragraph, coalesce({good(body)}[-1], '') AS last_paragraph FROM {docs} WHERE {col} <> ''"
 
 
-def seeded(shift: int) -> str:
+def seeded(*shifts: int) -> str:
     cases = " ".join(f"WHEN {k} THEN {q(s)}" for k, s in enumerate(SEEDS))
-    return f"SELECT doc_id, md || chr(10) || chr(10) || CASE (doc_id + {shift}) % {len(SEEDS)} {cases} END AS md FROM docs"
+    more = " || ".join(f"chr(10) || chr(10) || CASE (doc_id + {n}) % {len(SEEDS)} {cases} END" for n in shifts)
+    return f"SELECT doc_id, md || {more} AS md FROM docs"
 
 
 def lint_of(docs: str) -> str:
@@ -177,9 +178,9 @@ CTES = {
     "seed0": seeded(0),
     "lint0": lint_of("seed0"),
     "lint_modes": " UNION ALL ".join(f"SELECT 'm{k}' AS mode, * FROM ({lint_of(f'seedm{k}')})" for k in (1, 2, 3)),
-    "seedm1": f"SELECT doc_id, string_agg(md, chr(10)) AS md FROM ({seeded(0)} UNION ALL {seeded(1)}) GROUP BY doc_id",
-    "seedm2": f"SELECT doc_id, string_agg(md, chr(10)) AS md FROM ({seeded(1)} UNION ALL {seeded(2)}) GROUP BY doc_id",
-    "seedm3": f"SELECT doc_id, string_agg(md, chr(10)) AS md FROM ({seeded(0)} UNION ALL {seeded(2)}) GROUP BY doc_id",
+    "seedm1": seeded(0, 1),
+    "seedm2": seeded(1, 2),
+    "seedm3": seeded(0, 2),
     "consensus": "SELECT doc_id, rule_id, arg_min(severity, mode) AS severity, max(confidence) AS max_confidence, string_agg(DISTINCT mode, ',' ORDER BY mode) AS present_in, count(DISTINCT mode) AS modes FROM lint_modes GROUP BY doc_id, rule_id HAVING count(DISTINCT mode) >= 2",
 }
 ORDER = ["docs", "lines", "chunks", "labels", "res", "found_pairs", "section_pairs", "groups", "pairs", "sources", "source_lines", "pages", "refs", "biblio", "entries1", "entries", "answers", "best", "verdicts", "spots", "conversion", "native", "ref_counts", "modes", "seed0", "lint0", "seedm1", "seedm2", "seedm3", "lint_modes", "consensus"]

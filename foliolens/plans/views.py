@@ -36,11 +36,11 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "original_converted").where("extracted_text <> ''").select(F.col("paper_id").alias("doc_id"), F.col("extracted_text").alias("md")).distinct()
 
 
-def seeded(spark: SparkSession, d: str, shift: int = 0) -> DataFrame:
-    """docs with one of SEEDS at the end."""
+def seeded(spark: SparkSession, d: str, *shifts: int) -> DataFrame:
+    """docs with one of SEEDS at the end for each shift, by default for 0."""
     seeds = F.array(*(F.lit(s) for s in SEEDS))
-    at = ((F.col("doc_id") + shift) % len(SEEDS) + 1).cast("int")
-    return docs(spark, d).select("doc_id", F.concat("md", F.lit("\n\n"), F.element_at(seeds, at)).alias("md"))
+    at = lambda k: ((F.col("doc_id") + k) % len(SEEDS) + 1).cast("int")
+    return docs(spark, d).select("doc_id", F.concat_ws("\n\n", "md", *(F.element_at(seeds, at(k)) for k in shifts or (0,))).alias("md"))
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
