@@ -225,7 +225,7 @@ def p7_oracle() -> str:
         x = f"regexp_replace({c}, '[­͏​-‏⁠-⁤﻿]', '', 'g')"
         for lig, plain in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("Ⅰ", "I"), ("Ⅱ", "II"), ("Ⅲ", "III"), ("…", "...")):
             x = f"replace({x}, '{lig}', '{plain}')"
-        return f"trim(translate(nfc_normalize({x}), '{q(src)}', '{q(dst)}'))"
+        return f"trim(nfc_normalize(translate(nfc_normalize({x}), '{q(src)}', '{q(dst)}')))"
 
     return (
         "SELECT DISTINCT m.ref_id, m.match_id FROM match_results m JOIN original_references r USING (ref_id) "
