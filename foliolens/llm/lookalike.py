@@ -65,8 +65,12 @@ def normalised(text: str) -> str:
 
 
 def skeleton(text: str) -> str:
-    """Every look-alike letter replaced by its class; equal skeletons mean equal lattices."""
-    return text.translate(_SKELETON)
+    """Every look-alike letter replaced by its class; equal skeletons mean equal lattices.
+
+    An accent on a look-alike letter is composed with its class.
+    """
+    t = text.translate(_SKELETON)
+    return t if t.isascii() else unicodedata.normalize("NFC", t)
 
 
 def _script(ch: str) -> str:

@@ -282,6 +282,7 @@ def test_looks(spark):
     assert got == {0, 1, 2, 8}
     assert model.form("Сëstrа ﬁne ​") == "Cëstra fine"
     assert model.form("Wages") == model.form("Wаgеѕ") == "Wages"
+    assert model.form("Dr\u0435\u0301lune") == "Dr\u00e9lune"
     assert [r.form for r in lookalike.one_form(spark.createDataFrame([(None,), ("",)], "t string"), "t", model).collect()] == [None, ""]
 
 
