@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolens.functions.text import loose
-from foliolens.session import ship
+from foliolens.session import ship, written
 
-# Thresholds of title similarity, pattern of a doi.
+# Thresholds of title similarity, titles compared in one group, pattern of a doi.
 VERIFIED, REVIEW = 0.85, 0.70
+BLOCK = 4096
 VALID_DOI = r"^10\.\d{4,9}/\S+$"
 
 
@@ -25,68 +27,131 @@ def doi_matches(refs: DataFrame, records: DataFrame) -> DataFrame:
     return a.join(b, "d").select("ref_id", "record_id")
 
 
-def similarity(a, b, least):
-    """Ratcliff-Obershelp ratio of two columns of loose titles, the first one leading; an Arrow UDF.
-
-    Where the ratio's upper bounds stay below `least`, a column, 0 stands for it.
-    """
+def similarity(a, b):
+    """Ratcliff-Obershelp ratio of two columns of loose titles, the first one leading; an Arrow UDF."""
 
     @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        known: dict[tuple[str, str, float], float] = {}
+        known: dict[tuple[str, str], float] = {}
         out = []
-        for key in zip(x, y, z, strict=True):
+        for key in zip(x, y, strict=True):
             if (r := known.get(key)) is None:
-                p, q, t = key
-                if p == q:
-                    r = 1.0
-                else:
-                    m = SequenceMatcher(None, p, q)
-                    r = m.ratio() if m.real_quick_ratio() >= t and m.quick_ratio() >= t else 0.0
-                known[key] = r
+                r = known[key] = 1.0 if key[0] == key[1] else SequenceMatcher(None, *key).ratio()
             out.append(r)
         return pd.Series(out, dtype="float64")
 
-    return ratio(a, b, least)
+    return ratio(a, b)
+
+
+def common_lengths(title: str, codes: np.ndarray, alphabet: dict[str, int]) -> np.ndarray:
+    """The longest common subsequence of title and each column of codes, bit-parallel over the columns.
+
+    codes: positions by titles, 0 behind the end. Twice this over both lengths bounds the ratio from above.
+    """
+    words = -(-len(title) // 64)
+    masks = np.zeros((words, len(alphabet) + 1), np.uint64)
+    for i, ch in enumerate(title):
+        if k := alphabet.get(ch):
+            masks[i // 64, k] |= np.uint64(1 << i % 64)
+    v = np.full((words, codes.shape[1]), ~np.uint64(0))
+    for row in codes:
+        carry = None
+        for w in range(words):
+            old = v[w]
+            u = old & masks[w][row]
+            new = old + u
+            if w + 1 < words:
+                over = new < old
+            if carry is not None:
+                new += carry
+                if w + 1 < words:
+                    over |= new < carry
+            if w + 1 < words:
+                carry = over.astype(np.uint64)
+            v[w] = new | (old - u)
+    v[-1] |= ~np.uint64(0) << np.uint64((len(title) - 1) % 64) << np.uint64(1)
+    return 64 * words - np.bitwise_count(v).sum(0, dtype=np.int64)
+
+
+def nearest(titles: list[str], others: list[str], ids: list[int]) -> list[tuple[str, int, float]]:
+    """(title, id, ratio): the other title of the highest ratio from 0.70 on, the lowest id on ties; none is passed over."""
+    from difflib import SequenceMatcher
+
+    order = sorted(range(len(others)), key=lambda k: len(others[k]))
+    others, ids = [others[k] for k in order], [ids[k] for k in order]
+    lengths = np.array([len(u) for u in others])
+    alphabet = {ch: k for k, ch in enumerate(sorted(set("".join(others))), 1)}
+    codes = np.zeros((lengths.max(), len(others)), np.uint16 if len(alphabet) < 65_000 else np.uint32)
+    for k, u in enumerate(others):
+        codes[: len(u), k] = [alphabet[ch] for ch in u]
+    out = []
+    for t in titles:
+        # both bounds are rounded outwards
+        lo, hi = np.searchsorted(lengths, [len(t) * REVIEW / (2 - REVIEW) - 1e-6, len(t) * (2 - REVIEW) / REVIEW + 1e-6])
+        if lo == hi:
+            continue
+        part = lengths[lo:hi]
+        most = 2 * common_lengths(t, codes[: part[-1], lo:hi], alphabet) / (len(t) + part)
+        near = np.flatnonzero(most >= REVIEW - 1e-9)
+        best, at = 0.0, 0
+        for k in near[np.argsort(-most[near], kind="stable")]:
+            if most[k] < best - 1e-9:
+                break
+            r = SequenceMatcher(None, t, others[lo + k]).ratio()
+            if r >= REVIEW and (r > best or r == best and ids[lo + k] < at):
+                best, at = r, ids[lo + k]
+        if best:
+            out.append((t, at, best))
+    return out
 
 
 def lookup(refs: DataFrame, records: DataFrame) -> DataFrame:
     """(ref_id, tier, record_id, similarity): the best record of each catalog tier for each reference.
 
     A record of the same valid doi wins at once, with the similarity of the titles, or 1
-    where one is missing. Else the five candidates with most rare title words in common
-    are compared; the best is taken from 0.70 on. Candidates share one of the two
-    longest words of the title and pass the exact length bound of the ratio.
+    where one is missing. Else the record of the most similar title is taken, from 0.70 on,
+    the lowest record_id on ties. Equal titles are joined; any other title is compared with
+    all titles of the tier, as so low a ratio asks for no word, beginning or q-gram in common.
+    Only the bounds of the ratio by length and longest common subsequence, which lose nothing, prune.
     """
     ship(refs.sparkSession)
     r = refs.select("ref_id", loose(F.coalesce("title", F.lit(""))).alias("t")).distinct()
     c = records.select("record_id", "tier", loose(F.coalesce("title", F.lit(""))).alias("u")).distinct()
-    by_doi = doi_matches(refs, records).join(r, "ref_id").join(c, "record_id").select("ref_id", "record_id", "tier", "t", "u", F.lit(1).alias("exact"))
-
-    def blocks(df, col, *keep):
-        words = F.array_distinct(F.filter(F.split(col, " "), lambda w: F.length(w) >= 4))
-        longest = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 2)
-        return df.where(F.size(words) > 0).select(*keep, F.explode(longest.getField("w")).alias("block"), F.size(words).alias("n_words"), F.substring(col, 1, 12).alias("head"))
-
-    a = blocks(r, "t", "ref_id", "t").withColumnRenamed("n_words", "n1").withColumnRenamed("head", "h1")
-    b = blocks(c, "u", "record_id", "tier", "u").withColumnRenamed("n_words", "n2").withColumnRenamed("head", "h2")
-    la, lb = F.length("t"), F.length("u")
-    bound = (lb >= la * REVIEW / (2 - REVIEW)) & (lb <= la * (2 - REVIEW) / REVIEW)
-    shared = F.size(F.array_intersect(F.split("t", " "), F.split("u", " ")))
-    near = a.join(b, "block").where(bound & (F.col("h1") == F.col("h2"))).withColumn("shared", shared).dropDuplicates(["ref_id", "record_id"])
-    top = Window.partitionBy("ref_id", "tier").orderBy(F.desc("shared"), "record_id")
-    near = near.withColumn("rank", F.row_number().over(top)).where("rank <= 5").select("ref_id", "record_id", "tier", "t", "u", F.lit(0).alias("exact"))
-    scored = by_doi.unionByName(near).withColumn("s", similarity("t", "u", F.when(F.col("exact") == 1, 0.0).otherwise(REVIEW)))
-    scored = scored.withColumn("similarity", F.when((F.col("exact") == 1) & ((F.col("t") == "") | (F.col("u") == "")), 1.0).otherwise(F.col("s")))
+    by_doi = doi_matches(refs, records).join(r, "ref_id").join(c, "record_id").select("ref_id", "record_id", "tier", "t", "u")
+    missing = (F.col("t") == "") | (F.col("u") == "")
+    by_doi = by_doi.select("ref_id", "tier", "record_id", F.when(missing, 1.0).otherwise(similarity("t", "u")).alias("similarity"), F.lit(1).alias("exact"))
+    # distinct titles of a tier, and the distinct ones looked for in it
+    u = written(c.where("u <> ''").groupBy("tier", "u").agg(F.min("record_id").alias("record_id")))
+    wanted = r.where("t <> ''").crossJoin(u.select("tier").distinct()).join(by_doi.select("ref_id", "tier"), ["ref_id", "tier"], "left_anti")
+    wanted = written(wanted.join(u.select("tier", F.col("u").alias("t"), "record_id"), ["tier", "t"], "left"))
+    rest = wanted.where("record_id is null").select("tier", "t").distinct()
+    n, m = u.count(), rest.count()
+    blocks, groups = -(-n // BLOCK) or 1, -(-m // BLOCK) or 1
+    ids = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = rest.select("tier", "t", F.pmod(F.xxhash64("t"), F.lit(groups)).cast("int").alias("g"), ids(blocks).alias("b"))
+    b = u.select("tier", "u", "record_id", F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int").alias("b"), ids(groups).alias("g"))
+
+    def compared(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = nearest(x["t"].tolist(), y["u"].tolist(), y["record_id"].tolist()) if len(x) and len(y) else []
+        tier = pd.concat([x["tier"], y["tier"]])
+        return pd.DataFrame(
+            {
+                "tier": pd.Series([key[0]] * len(found), dtype=tier.dtype),
+                "t": pd.Series([f[0] for f in found], dtype=x["t"].dtype),
+                "record_id": pd.Series([f[1] for f in found], dtype=y["record_id"].dtype),
+                "similarity": pd.Series([f[2] for f in found], dtype="float64"),
+            }
+        )
+
+    kinds = dict(u.dtypes)
+    keys = ["tier", "g", "b"]
+    near = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compared, f"tier {kinds['tier']}, t string, record_id {kinds['record_id']}, similarity double")
+    equal = wanted.where("record_id is not null").select("ref_id", "tier", "record_id", F.lit(1.0).alias("similarity"), F.lit(0).alias("exact"))
+    near = wanted.drop("record_id").join(near, ["tier", "t"]).select("ref_id", "tier", "record_id", "similarity", F.lit(0).alias("exact"))
     best = Window.partitionBy("ref_id", "tier").orderBy(F.desc("exact"), F.desc("similarity"), "record_id")
-    return (
-        scored.where((F.col("exact") == 1) | (F.col("similarity") >= REVIEW))
-        .withColumn("r", F.row_number().over(best))
-        .where("r = 1")
-        .select("ref_id", "tier", "record_id", "similarity")
-    )
+    return by_doi.unionByName(equal).unionByName(near).withColumn("r", F.row_number().over(best)).where("r = 1").select("ref_id", "tier", "record_id", "similarity")
 
 
 def cascade(answers: DataFrame) -> DataFrame:

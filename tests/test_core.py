@@ -171,6 +171,34 @@ def test_lookup_finds_titles_and_dois(spark):
     assert got == {(1, 10, 0.98), (2, 11, 1.0)}
 
 
+def test_lookup_finds_what_comparing_all_titles_finds(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    words = "volunteering inheritance wartime question lighthouses rural tenancy harbours colonial libraries a the of after".split()
+    titles = [" ".join(rng.sample(words, rng.randint(3, 13))) for _ in range(60)] + ["volunteering inheritance and the wartime question"]
+
+    def slip(t, k):
+        for _ in range(k):
+            i = rng.randrange(len(t))
+            t = t[:i] + rng.choice(["", "x", "rn"]) + t[i + 1 :]
+        return " ".join(t.split())
+
+    recs = [(100 + i, 1 + i % 2, t) for i, t in enumerate(titles)]
+    refs = [(i, slip(t, i % 9)) for i, t in enumerate(titles)] + [(90, "vounteering inheritance and the wartime uestion"), (91, "the volunteernig inheritnace and wartime question")]
+    want = set()
+    for i, t in refs:
+        for tier in (1, 2):
+            s, n = max((SequenceMatcher(None, t, u).ratio(), -n) for n, k, u in recs if k == tier)
+            if s >= 0.7:
+                want.add((i, tier, -n, round(s, 9)))
+    a = spark.createDataFrame([(*x, None) for x in refs], "ref_id long, title string, doi string")
+    b = spark.createDataFrame([(*x, None) for x in recs], "record_id long, tier int, title string, doi string")
+    assert {(r.ref_id, r.tier, r.record_id, round(r.similarity, 9)) for r in matching.lookup(a, b).collect()} == want
+    assert {(90, 160), (91, 160)} <= {(x[0], x[2]) for x in want}
+
+
 def test_captions_tables_and_native(spark):
     text = "| a | b |\n| c | d |\n\n**Table 1.** x\nTable 2. y\nTables 3\n| e | f |\n![cap](x.png)\n**Figure 1:** bold\nFigure 2. cap\nFigure 3. BOLD\n"
     t = fidelity.table_blocks(docs(spark, text)).first()
