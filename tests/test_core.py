@@ -215,6 +215,22 @@ def test_conversion_report(spark):
     assert r[1].status == "PASS" and r[2].status == "FAIL" and "V1" in r[2].failures and "V2" in r[3].warnings
 
 
+def test_conversion_report_bears_slips_and_warns_of_lost_references_and_captions(spark):
+    names = "amber birch cedar dune elm fern grove heath iris juniper kelp larch".split()
+    said = [f"The {a} survey of {b} fields reports that {c} yields were lower than ever before, and the later counts of the same plots agree with this in nearly all regions." for a, b, c in zip(names, names[1:], names[2:])]
+    head = "# Title\n\n" + "\n\n".join(said)
+    refs = "\n\n# References\n\n" + "".join(f"[{k}] {n.title()}, A. (20{k:02}) A title of some length. \n" for k, n in enumerate(names, 10))
+    fig = "Figure 1. Yields of all the fields by year and kind of tree, drawn from the counts of the survey"
+    plain = head + refs
+    slips = plain.replace("reports", "rep0rts")
+    other = plain.replace("The amber survey of birch fields reports that cedar", "Nothing of that kind was ever written in any")
+    rows = [(1, slips, plain), (2, plain, head + "\n\n# References\n\n" + refs[20:400]), (3, plain, plain), (4, head + "\n\n" + fig + "\n" + refs, plain), (5, head + "\n\n" + fig + "\n" + refs, head + "\n\n" + fig.replace("Yields", "Yie1ds") + "\n" + refs), (6, other, plain)]
+    r = {x.doc_id: x for x in fidelity.conversion_report(spark.createDataFrame(rows, "doc_id long, source string, md string")).collect()}
+    assert (r[1].status, r[1].spot_hits) == ("PASS", r[1].spot_checked) and r[1].spot_checked > 2
+    assert "V4" in r[2].warnings and r[3].status == "PASS" and "V6" in r[6].failures
+    assert "V7" in r[4].warnings and "V7" not in r[5].warnings
+
+
 def test_fuzzy_containment():
     hay = "the quick brown fox jumps over the lazy dog and runs far away from here"
     assert fidelity.fuzzy_contains("quick brown fox", hay, 0.85)
