@@ -8,6 +8,8 @@ length and the positional filter in the join, and the similarity of what is left
 is computed exactly. Of the survivors, those whose words agree one by one, up to
 typing errors and cuts, count, and the best is kept; a value without any has no
 entry. Trigrams are over a fixed alphabet, so their ranks are at most 28^3 rows.
+Initials share no trigram with a name: a value in capitals that no words explain is
+joined with the initials of the entries, where they are those of one entry only.
 """
 
 from __future__ import annotations
@@ -64,6 +66,24 @@ def renderings(name: str, abbrev: str | None) -> list[str]:
     return list(dict.fromkeys(x for x in out if x))
 
 
+_CAPITALS = re.compile(r"(?:[^\W\d_]\s*\.?\s*){2,}")
+
+
+def initials_of(value: str) -> str | None:
+    """The letters of a value that may be initials: two or more capitals, with or without dots and blanks."""
+    t = _NOISE.sub("", normalised(value)).strip()
+    if not _CAPITALS.fullmatch(t) or t != t.upper():
+        return None
+    return re.sub(r"[\W\d_]+", "", folded(t)) or None
+
+
+def initials(name: str) -> list[str]:
+    """The initials of a name's words that matter, and of all its words."""
+    every = re.findall(r"[^\W\d_]+", re.sub(r"[-‐‑–'’]", "", folded(normalised(name).replace("&", " and "))))
+    lists = (key_of(name).replace(" ~", "").split(), every)
+    return list(dict.fromkeys("".join(w[0] for w in ws) for ws in lists if len(ws) > 1))
+
+
 def grams(key: str) -> list[str]:
     """The set of letter trigrams of a key's words; other letters than a to z are one."""
     out = set()
@@ -223,12 +243,20 @@ def mapped(values: DataFrame, column: str, entries: DataFrame, threshold: float
     def rendered(name: pd.Series, abbrev: pd.Series) -> pd.Series:
         return pd.Series([renderings(n, a) for n, a in zip(name, abbrev, strict=True)], dtype=object)
 
+    @F.pandas_udf("string")
+    def short(s: pd.Series) -> pd.Series:
+        return pd.Series([initials_of(v) for v in s], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def shortened(s: pd.Series) -> pd.Series:
+        return pd.Series([initials(n) for n in s], dtype=object)
+
     @F.pandas_udf("double")
     def agrees(key: pd.Series, full: pd.Series) -> pd.Series:
         return pd.Series([agreement(k, f) for k, f in zip(key, full, strict=True)], dtype="float64")
 
     named = values.select(F.col(column).alias("value")).where(F.col("value").rlike(r"(?U)\S")).distinct()
-    distinct = written(named.withColumn("key", keyed("value")))
+    distinct = written(named.withColumn("key", keyed("value")).withColumn("short", short("value")))
     keys = distinct.select("key").where("key <> ''").distinct()
     listed = (
         entries.where("name is not null")
@@ -246,7 +274,15 @@ def mapped(values: DataFrame, column: str, entries: DataFrame, threshold: float
         .groupBy("key")
         .agg(F.max_by("entry", F.struct("agrees", "similarity", (-F.col("entry")).alias("first"))).alias("entry"))
     )
-    return distinct.join(best, "key", "left").select("value", F.coalesce("entry", F.lit(0)).alias("entry"))
+    one = (
+        entries.where("name is not null")
+        .select("entry", F.explode(shortened("name")).alias("short"))
+        .groupBy("short")
+        .agg(F.min("entry").alias("only"), F.max("entry").alias("last"))
+        .where("only = last")
+    )
+    out = distinct.join(best, "key", "left").join(one.select("short", "only"), "short", "left")
+    return out.select("value", F.coalesce("entry", "only", F.lit(0)).alias("entry"))
 
 
 def _entries(spark, sf_dir) -> DataFrame:

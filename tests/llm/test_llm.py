@@ -130,6 +130,14 @@ def test_values_map_to_entries(spark):
     assert got == cases
 
 
+def test_initials_of_one_entry_only_name_it(spark):
+    names = ["International Journal of Volatile Vaccination and Remittances", "Archives of Tidal Wages", "Annals of Temporary Weaving", "Area"]
+    e = spark.createDataFrame([(k, n, None) for k, n in enumerate(names, 1)], "entry int, name string, abbrev string")
+    v = spark.createDataFrame([("IJVVR",), ("I.J.V.V.R.",), ("I. J. V. V. R.",), ("IJOVVAR",), ("ATW",), ("AREA",), ("N/A",), ("ijvvr",), ("UNKNOWN",)], "j string")
+    got = {r.value: r.entry for r in canonical.mapped(v, "j", e).collect()}
+    assert got == {"IJVVR": 1, "I.J.V.V.R.": 1, "I. J. V. V. R.": 1, "IJOVVAR": 1, "ATW": 0, "AREA": 4, "N/A": 0, "ijvvr": 0, "UNKNOWN": 0}
+
+
 def test_similarity_join_equals_brute_force(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(3, 7)))
