@@ -185,7 +185,7 @@ def _crc(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-def blocking_keys(titles, heads, minima, words, first, usual, second, years, dois, probes) -> tuple[np.ndarray, np.ndarray]:
+def blocking_keys(titles, heads, minima, words, first, usual, second, years, venues, dois, probes) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of the blocking keys of described rows, in the rows' order.
 
     first, second: the rare tokens of the first two authors of each row; usual: the common ones of the first.
@@ -222,6 +222,11 @@ def blocking_keys(titles, heads, minima, words, first, usual, second, years, doi
         # references without a title are looked for by author and year
         t = (year[row] > 0) & (~titled[row] if probes else True)
         add(row[t], crc[t] ^ (year[row[t]] * np.uint64(0x27D4EB2F165667C5)))
+        # common tokens count together with the year and how the venue begins, as one venue may be the other's beginning
+        row, crc = tokens(usual)
+        venue = u([_crc(v[:3]) if v else 0 for v in venues])
+        t = (year[row] > 0) & (venue[row] > 0) & (~titled[row] if probes else True)
+        add(row[t], crc[t] ^ (year[row[t]] * np.uint64(0xA0761D6478BD642F)) ^ (venue[row[t]] * np.uint64(0xE7037ED1A0B428DB)))
     row, crc = tokens(second)
     t = titled[row]
     add(row[t], crc[t] ^ minima[2][row[t]] ^ np.uint64(4))
@@ -259,7 +264,8 @@ def describe(batch: pa.RecordBatch, common: frozenset[str], probes: bool) -> pa.
     first = [[a for a in x[0] if a not in common] if x else [] for x in names]
     second = [[a for a in x[1] if a not in common] if len(x) > 1 else [] for x in names]
     usual = [[a for a in x[0] if a in common] if x else [] for x in names]
-    row, key = blocking_keys(bare, heads, minima, words, first, usual, second, years, dois, probes)
+    venues = [venue_of(v) for v in column("venue")]
+    row, key = blocking_keys(bare, heads, minima, words, first, usual, second, years, venues, dois, probes)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
     # 24 bits of how the title begins, 24 of the first author, 14 of the year; 0 for what is missing
     brief = [(h & 0xFFFFFF) << 38 | (min(map(_crc, f)) & 0xFFFFFF if f else 0) << 14 | y for h, f, y in zip(heads, first, years, strict=True)]
@@ -271,7 +277,7 @@ def describe(batch: pa.RecordBatch, common: frozenset[str], probes: bool) -> pa.
             pa.array([" ".join(sorted({w for name in x for w in name})) for x in names], pa.string()),
             pa.array(years, pa.int32()),
             pa.array([_crc(d) << 32 | _crc(d[::-1]) >> 1 if d else 0 for d in dois], pa.uint64()).view(pa.int64()),
-            pa.array([venue_of(v) for v in column("venue")], pa.string()),
+            pa.array(venues, pa.string()),
             pa.array(sk),
             pa.array(brief, pa.int64()),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(key)),

@@ -89,6 +89,13 @@ def test_entities_link_the_same_work_only(spark):
     assert not [x for x in got if x[0] >= 1000] and len(got - right) <= 2
 
 
+def test_entities_of_common_authors_without_a_title(spark):
+    recs = [(k, t, f"Hotname, {'Anna' if k % 2 else 'Vera'}", y, None, f"Journal {chr(97 + k % 26)}{k // 26}", "") for k, (t, _, y, _, _) in enumerate(_works(120))]
+    refs = [(k, None, recs[k][2], recs[k][3], "10.1000/wrong" if k % 2 else None, recs[k][5], "") for k in range(0, 120, 5)]
+    got = {(r.ref_id, r.record_id) for r in entities.matches(spark.createDataFrame(refs, REF), spark.createDataFrame(recs, REC)).collect()}
+    assert got == {(k, k) for k in range(0, 120, 5)}
+
+
 def test_entities_of_empty_tables(spark):
     none = entities.matches(spark.createDataFrame([], REF), spark.createDataFrame([], REC))
     assert none.count() == 0
