@@ -185,10 +185,10 @@ def _crc(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-def blocking_keys(titles, heads, minima, words, first, usual, second, years, venues, dois, probes) -> tuple[np.ndarray, np.ndarray]:
+def blocking_keys(titles, heads, minima, words, first, usual, second, usual2, years, venues, dois, probes) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of the blocking keys of described rows, in the rows' order.
 
-    first, second: the rare tokens of the first two authors of each row; usual: the common ones of the first.
+    first, second: the rare tokens of the first two authors of each row; usual, usual2: the common ones.
     """
     n = len(titles)
     u = lambda values: np.array(values, dtype=np.uint64)
@@ -217,6 +217,13 @@ def blocking_keys(titles, heads, minima, words, first, usual, second, years, ven
     r, c = row[t], crc[t] ^ (year[row[t]] * np.uint64(0xD6E8FEB86659FD93))
     for k in (0, 1):
         add(r, c ^ minima[k][r] ^ np.uint64(6 + k))
+    # and with more of the title, which needs no year
+    for lists, salt in ((usual, 8), (usual2, 11)):
+        row, crc = tokens(lists)
+        t = titled[row]
+        r, c = row[t], crc[t]
+        for k, value in enumerate((begin[r], minima[0][r] ^ (minima[1][r] >> np.uint64(7)), minima[2][r] ^ (minima[3][r] >> np.uint64(7)))):
+            add(r, c ^ value ^ np.uint64(salt + k))
     row, crc = tokens(first)
     if not (probes and titled.all()):
         # references without a title are looked for by author and year
@@ -264,8 +271,9 @@ def describe(batch: pa.RecordBatch, common: frozenset[str], probes: bool) -> pa.
     first = [[a for a in x[0] if a not in common] if x else [] for x in names]
     second = [[a for a in x[1] if a not in common] if len(x) > 1 else [] for x in names]
     usual = [[a for a in x[0] if a in common] if x else [] for x in names]
+    usual2 = [[a for a in x[1] if a in common] if len(x) > 1 else [] for x in names]
     venues = [venue_of(v) for v in column("venue")]
-    row, key = blocking_keys(bare, heads, minima, words, first, usual, second, years, venues, dois, probes)
+    row, key = blocking_keys(bare, heads, minima, words, first, usual, second, usual2, years, venues, dois, probes)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
     # 24 bits of how the title begins, 24 of the first author, 14 of the year; 0 for what is missing
     brief = [(h & 0xFFFFFF) << 38 | (min(map(_crc, f)) & 0xFFFFFF if f else 0) << 14 | y for h, f, y in zip(heads, first, years, strict=True)]

@@ -96,6 +96,26 @@ def test_entities_of_common_authors_without_a_title(spark):
     assert got == {(k, k) for k in range(0, 120, 5)}
 
 
+def test_entities_of_common_authors_meet_without_a_year():
+    import pyarrow as pa
+
+    common = frozenset({"hotname", "anna", "vera"})
+
+    def keys(titles, authors, years, probes):
+        n = len(titles)
+        cols = {"h": list(range(n)), "title": titles, "authors": [authors] * n, "year": years, "doi": [None] * n, "venue": [None] * n}
+        schema = pa.schema([("h", pa.int64()), *((c, pa.string()) for c in list(cols)[1:])])
+        return entities.describe(pa.RecordBatch.from_pydict(cols, schema), common, probes).column(9).to_pylist()
+
+    titles = [t for t, *_ in _works(150)]
+    slips = [t.replace("study", "stuudy").replace("review", "revview").replace("survey", "survvey") for t in titles]
+    for authors in ("Hotname, Anna", "Xuvwy, Q.; Hotname, Vera"):
+        # without a year, and with one that is a year off
+        for years in ([None] * 150, ["1961"] * 150):
+            a, b = keys(slips, authors, years, True), keys(titles, authors.replace("Xuvwy", "Zypqo"), ["1960"] * 150, False)
+            assert sum(bool(set(x) & set(y)) for x, y in zip(a, b, strict=True)) >= 147
+
+
 def test_entities_of_empty_tables(spark):
     none = entities.matches(spark.createDataFrame([], REF), spark.createDataFrame([], REC))
     assert none.count() == 0
