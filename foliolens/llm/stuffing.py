@@ -1,10 +1,13 @@
 """Problem 10: pages of repeated keywords, link lists and shop tags.
 
-Every line of a post, without its quotations, logs and signature, is reduced to a
-shape: how many words, capitals, separators and links it has, whether it carries
-figures, and whether it reads as a sentence. Shapes are grouped within the page. A
-page whose words lie mostly in few shapes that are no sentences is flagged, if
-those lines repeat their words or are links.
+The posts' own lines, without quotations, logs and signature, are cut into units at
+the ends of sentences. Every unit is reduced to a shape: how many words, capitals,
+separators, links and figures it has, and of which kind it is: a sentence, or loose
+words, a link list, a list of tags, an offer with price and number, a phrase that is
+short for a sentence and holds what the page repeats, or words that repeat each other.
+Shapes are grouped within the page. A page whose words lie mostly in few shapes that are
+no sentences is flagged, if these repeat their words, are links or offers, or if the page
+is nothing but tags. A post that is a quotation and nothing else is judged as its own.
 """
 
 from __future__ import annotations
@@ -30,45 +33,65 @@ _BREAK = re.compile(r"<\s*(?:br|/?p|/?div|/?li|/?ul|/?ol)\b[^<>\n]{0,200}>", re.
 _QUOTE = re.compile(r"\[quote[^\]]*\](?:(?!\[quote|\[/quote\]).)*\[/quote\]", re.I | re.S)
 _CODE = re.compile(r"\[code\].*?(?:\[/code\]|\Z)|```.*?(?:```|\Z)", re.I | re.S)
 _SIGNATURE = re.compile(r"\n(?:--|_{4,}|-{4,})[ \t]*\n(?:[^\n]*\n?){0,4}\Z")
+_WROTE = re.compile(r"\bwrote:\s*$")
 _END = re.compile(r"[.!?…。！？।؟](?:[\"'”’»)\]\s]|[:;]-?[)(DP]|[^\w\s.,;:/|~#-])*\Z")
-_SENTENCE_INSIDE = re.compile(r"[^\W\d_]{2}[.!?…]\s+[^\W\d_]|[。！？]")
+#: Where a unit ends within a line: behind a terminator, but not that of a number.
+_UNIT = re.compile(r"(?<=[^\W\d][.!?…])(?=\s)|(?<=[^\W\d][.!?…][\"'”’»)])(?=\s)|(?<=[。！？])(?=[^\"'”’»)）」』])|(?<=[!?…)][.!?])(?=\s)")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _LISTED = re.compile(r"\s*(?:[,;/~|•·»>#*+=–—]|\s-\s)\s*|、|，|；")
+_FIGURE = re.compile(r"\d+")
+_PRICE = re.compile(r"(?<!\d)\d+[.,]\d\d\s*(?:[$€£¥₽₹]|[A-Z][A-Za-z]{1,2}\b)|[$€£¥₽₹]\s*\d")
+_ITEM = re.compile(r"(?<![\d.,])\d{4,}(?![\d.,])|[★☆]")
+_CENTS = re.compile(r"[.,]\d\d|[$€£¥₽₹]")
+_SPACED = re.compile(r"(?:(?<!\S)\S\s+){4}")
+_MASKED = re.compile(r"[^\W\d_][0-9@$!]|[0-9@$!][^\W\d_]")
+_FIGURE_LETTER = re.compile(r"[0-9@$!](?=[^\W\d_])|(?<=[^\W\d_])[0-9@$]")
+_NUMBER = re.compile(r"\d{2}")
+_MEASURE = re.compile(r"\d+[^\W\d_]{1,3}[.,]?")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
-#: Fewest loose words that judge a page, and fewest links.
-LEAST_WORDS, LEAST_LINKS = 8, 4
-#: A link counts as so many words; so many shapes are few.
-LINK_WEIGHT, SHAPES = 3, 4
-#: Least shares in loose lines, in the few shapes, inside repeated pairs; most figures to a word.
-LOOSE, TOP, COVER, FIGURES = 0.6, 0.45, 0.3, 0.13
+#: Characters that show nothing.
+_HIDDEN = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cf") + "]+")
+#: Fewest loose words that judge a page, fewest links, offers, short phrases and different tags; most words of a tag.
+LEAST_WORDS, LEAST_LINKS, LEAST_OFFERS, LEAST_PHRASES, LEAST_TAGS, TAG_WORDS = 8, 4, 3, 5, 4, 2
+#: A link counts as so many words; so many shapes are few; a phrase has fewer words than so many.
+LINK_WEIGHT, SHAPES, PHRASE = 3, 4, 7
+#: Least shares in loose units, in the few shapes, inside repeated pairs, in tags; most figures to a word.
+LOOSE, TOP, COVER, TAGGED, FIGURES = 0.6, 0.45, 0.3, 0.9, 0.13
 
 
 def plain(text: str) -> str:
-    """The post's own lines in plain characters: no markup, quotations or signature."""
+    """The post's own lines in plain characters: no markup, quotations, logs or signature."""
     t = html.unescape(text) if "&" in text else text
-    t = unicodedata.normalize("NFKC", t)
-    t = "".join(c for c in t if unicodedata.category(c) != "Cf")
-    t = _IMAGE.sub(" ", t)
-    t = _ANCHOR.sub(lambda m: f"{m[2] or m[4]} {m[1] or m[3]} ", t)
-    t = _BREAK.sub("\n", t)
-    while (u := _QUOTE.sub("\n", t)) != t:
-        t = u
-    t = _TAG.sub(" ", t)
-    lines = []
-    wrote = False
-    for line in t.split("\n"):
-        s = line.strip()
-        if s.startswith(">"):
-            continue
-        if re.search(r"\bwrote:\s*$", s):
-            wrote = True
-            continue
-        if wrote and s.startswith("|"):
-            continue
-        wrote = wrote and not s
-        lines.append(line)
-    return _SIGNATURE.sub("", "\n".join(lines))
+    if not t.isascii():
+        t = _HIDDEN.sub("", unicodedata.normalize("NFKC", t))
+    if "<" in t or "[" in t:
+        t = _IMAGE.sub(" ", t)
+        t = _ANCHOR.sub(lambda m: f"{m[2] or m[4]} {m[1] or m[3]} ", t)
+        t = _BREAK.sub("\n", t)
+        while (u := _QUOTE.sub("\n", t)) != t:
+            t = u
+    if "[" in t or "`" in t:
+        t = _CODE.sub("\n", t)
+    if "<" in t or "[" in t:
+        t = _TAG.sub(" ", t)
+    if ">" in t or "wrote:" in t:
+        lines, quoted = [], []
+        wrote = False
+        for line in t.split("\n"):
+            s = line.strip()
+            if s.startswith(">"):
+                quoted.append(s.lstrip("> "))
+                continue
+            if _WROTE.search(s):
+                wrote = True
+                continue
+            if wrote and s.startswith("|"):
+                continue
+            wrote = wrote and not s
+            lines.append(line)
+        t = "\n".join(lines if any(map(str.strip, lines)) else quoted)
+    return _SIGNATURE.sub("", t) if "--" in t or "____" in t else t
 
 
 def unmasked(line: str) -> str:
@@ -76,109 +99,200 @@ def unmasked(line: str) -> str:
     tokens = line.split()
     if len(tokens) >= 8 and sum(len(x) == 1 for x in tokens) > 0.7 * len(tokens):
         line = " ".join("".join(w.split()) for w in re.split(r"\s{2,}", line.strip()))
+    if not _MASKED.search(line):
+        return line
     out = []
     for w in line.split(" "):
-        if not LINK.match(w) and re.search(r"[^\W\d_]", w) and re.search(r"[0-9@$!](?=[^\W\d_])|(?<=[^\W\d_])[0-9@$]", w) and not re.search(r"\d{2}", w.strip("0134570")) and not re.fullmatch(r"\d+[^\W\d_]{1,3}[.,]?", w):
+        if _MASKED.search(w) and not LINK.match(w) and _FIGURE_LETTER.search(w) and not _NUMBER.search(w.strip("0134570")) and not _MEASURE.fullmatch(w):
             w = w.translate(_LEET)
         out.append(w)
     return " ".join(out)
 
 
-def segments(line: str) -> list[str]:
-    """The parts of a line between list separators, else the line."""
-    parts = [p.strip() for p in _LISTED.split(line) if p and p.strip()]
-    return parts if len(parts) >= 4 else [line.strip()]
-
-
-class Line:
-    """A line's measures and shape."""
-
-    __slots__ = ("words", "links", "sentence", "figures", "shape", "weight")
-
-    def __init__(self, line: str):
-        links = LINK.findall(line)
-        rest = LINK.sub(" ", line).strip(" \t:-–—|•*>,;")
-        cjk = len(_CJK.findall(rest))
-        self.words = []
-        for w in _WORD.findall(rest.lower()):
-            if cjk and len(w) > 2 and _CJK.search(w):
-                self.words += [w[k : k + 2] for k in range(len(w) - 1)]
-            else:
-                self.words.append(w)
-        self.links = 0 if _SOURCES.match(line) else len(links)
-        self.weight = len(self.words)
-        parts = segments(rest)
-        seps = len(parts) - 1
-        full = self.weight >= 3 and bool(_END.search(rest)) or bool(_SENTENCE_INSIDE.search(rest))
-        # a list may end in a period; in prose the separators are shared by several sentences
-        self.sentence = full and seps < 6 * max(1, len(_SENTENCE_INSIDE.findall(rest)))
-        self.figures = len(re.findall(r"\d+", rest))
-        caps = sum(w[:1].isupper() for w in rest.split())
+def words_of(line: str) -> list[str]:
+    """The words of line in lower case; of scripts without blanks the pairs of characters."""
+    words = _WORD.findall(line.lower())
+    if line.isascii() or not _CJK.search(line):
+        return words
+    out = []
+    for w in words:
+        if len(w) > 2 and _CJK.search(w):
+            out += [w[k : k + 2] for k in range(len(w) - 1)]
+        else:
+            out.append(w)
+    return out
+
+
+def repeated(words: list[str]) -> float:
+    """The share of words that came before."""
+    return 1 - len(set(words)) / max(1, len(words))
+
+
+def repeat_bound(words: float) -> float:
+    """The least share of repeated words; longer texts of any kind repeat more of theirs."""
+    return 0.55 + 0.04 * math.log2(max(1.0, words / 32))
+
+
+class Unit:
+    """A part of a line up to the end of a sentence, its measures and its kind.
+
+    kind: s sentence, n loose words, l links, o offer, t tags, r words that repeat each
+    other, k short phrase that holds what the page repeats (see `own_units`).
+    """
+
+    __slots__ = ("words", "links", "sources", "seps", "figures", "caps", "ended", "kind")
+
+    def __init__(self, part: str):
+        links = len(LINK.findall(part)) if "://" in part or "www." in part.lower() else 0
+        rest = (LINK.sub(" ", part) if links else part).strip(" \t:-–—|•*>,;")
+        self.words = words_of(rest)
+        self.links = links
+        self.sources = bool(links and _SOURCES.match(part))
+        n = len(self.words)
+        parts = [p for p in _LISTED.split(rest) if p and p.strip()]
+        self.seps = len(parts) - 1 if len(parts) >= 4 else 0
+        self.figures = len(_FIGURE.findall(rest))
+        self.caps = sum(w[:1].isupper() for w in rest.split())
+        # a list may end in a period, as may words that only repeat each other
+        self.ended = self.seps < 6 and bool(_END.search(rest))
+        if self.figures and _PRICE.search(rest) and _ITEM.search(rest):
+            self.kind = "o"
+        elif n >= LEAST_WORDS and repeated(self.words) >= repeat_bound(n):
+            self.kind = "r"
+        elif self.ended and n >= 3:
+            self.kind = "s"
+        elif links:
+            self.kind = "l" if LINK_WEIGHT * links > n else "n"
+        else:
+            self.kind = "t" if n <= TAG_WORDS * (self.seps + 1) and not self.figures and not self.ended and ":" not in part else "n"
+
+    @property
+    def weight(self) -> int:
+        return len(self.words) + LINK_WEIGHT * self.links
+
+    @property
+    def shape(self) -> str:
+        n, seps = len(self.words), self.seps
         bucket = lambda n: n if n < 3 else 3 if n < 8 else 8 if n < 20 else 20
-        self.shape = f"w{bucket(self.weight)}c{min(caps, 2)}p{bucket(seps)}l{min(self.links, 2)}f{min(self.figures, 2)}{'s' if self.sentence else 'n'}"
+        return f"w{bucket(n)}c{min(self.caps, 2)}p{bucket(seps)}l{min(self.links, 2)}f{min(self.figures, 2)}{self.kind}"
+
 
+def pairs_of(words: list[str]):
+    return zip(words, words[1:])
 
-def own_lines(text: str | None) -> list[Line]:
-    """The lines of a post that count: without markup, quotations, logs and signature."""
-    body = _CODE.sub("\n", plain(text)) if text else ""
-    return [Line(unmasked(x)) for x in body.split("\n") if x.strip()]
+
+def own_units(body: str) -> list[Unit]:
+    """The units of a post's plain text that count.
+
+    A list of sources below sentences is not counted. Sentences shorter than PHRASE words that
+    hold one of the page's three most frequent pairs of words, or a word that stands in a quarter of the
+    units, are phrases (k), if there are LEAST_PHRASES of them and they hold most of the page's words.
+    """
+    units = [Unit(u) for x in body.split("\n") if x.strip() for u in _UNIT.split(unmasked(x)) if u and u.strip()]
+    if any(u.kind == "s" for u in units):
+        units = [u for u in units if not u.sources]
+    short = [u for u in units if u.ended and u.kind in "stn" and len(u.words) < PHRASE]
+    if len(short) >= LEAST_PHRASES:
+        pairs = Counter(p for u in units for p in pairs_of(u.words))
+        marked = {p for p, n in pairs.most_common(3) if n >= 3}
+        often = Counter(w for u in units for w in set(u.words) if len(w) > 2)
+        common = {w for w, n in often.items() if n >= max(LEAST_PHRASES, len(units) / 4)}
+        hits = [u for u in short if not common.isdisjoint(u.words) or not marked.isdisjoint(pairs_of(u.words))]
+        if len(hits) >= LEAST_PHRASES and 2 * sum(len(u.words) for u in hits) > sum(len(u.words) for u in units):
+            for u in hits:
+                u.kind = "k"
+    return units
+
+
+def possible(body: str) -> bool:
+    """Whether a page of this plain text can be flagged at all: it has the fewest links, offers, tags or repetitions.
+
+    No flagged page is lost: its loose words are most of its words, repeated pairs within units are ones of
+    the text, and each tag has a separator or a line end behind it.
+    """
+    low = body.lower()
+    if low.count("://") + low.count("www.") >= LEAST_LINKS or _SPACED.search(body):
+        return True
+    if _MASKED.search(low):
+        low = "\n".join(map(unmasked, body.split("\n"))).lower()
+    if _CENTS.search(low) and len(_PRICE.findall(body)) >= LEAST_OFFERS:
+        return True
+    words = words_of(low)
+    n = len(words)
+    if n < LEAST_TAGS:
+        return False
+    if n < LEAST_WORDS * 4 or "\n" in low or "/" in low or not low.isascii():
+        if TAG_WORDS * (1 + low.count("\n") + len(_LISTED.findall(low))) >= TAGGED * n:
+            return True
+    elif TAG_WORDS * (1 + sum(map(low.count, ",;~|*+#>=-"))) >= TAGGED * n:
+        return True
+    if n < LEAST_WORDS:
+        return False
+    if repeated(words) >= LOOSE * 0.5 or max(Counter(pairs_of(words)).values()) >= 3:
+        return True
+    ends = sum(map(low.count, ".!?…。！？।؟"))
+    return ends >= max(LEAST_PHRASES, LOOSE * n / PHRASE) and max(Counter(words).values()) >= LEAST_PHRASES
 
 
 def measures(text: str | None) -> dict[str, float]:
-    """What the flag of a post is made of.
+    """What the flag of a post is made of; of a page that cannot be flagged they are those of an empty one.
 
-    loose: the share of words and links in lines that are no sentences; top: the share
+    loose: the share of words and links in units that are no sentences; top: the share
     in the few most frequent of those shapes; cover: the share of the loose words inside
     the three most frequent pairs of neighbours; repeat: the share of loose words that
-    came before; figures: figures to a loose word; links: links outside source lines.
+    came before; figures: figures to a loose word; links: links beside source lists;
+    offers, offered: units with a price and a number, their share; tags, tagged:
+    different words in lists of tags, their share; phrased: the share of short phrases.
     """
-    lines = own_lines(text)
-    loose = [x for x in lines if not x.sentence]
-    links = sum(x.links for x in lines)
-    loose_links = sum(x.links for x in loose)
-    weight = sum(x.weight for x in lines) + LINK_WEIGHT * links
+    body = plain(text) if text else ""
+    units = own_units(body) if possible(body) else []
+    loose = [x for x in units if x.kind != "s"]
+    weight = sum(x.weight for x in units)
     shapes: Counter = Counter()
     for x in loose:
-        shapes[x.shape] += x.weight + LINK_WEIGHT * x.links
+        shapes[x.shape] += x.weight
     words = [w for x in loose for w in x.words]
-    pairs = Counter(p for x in loose for p in zip(x.words, x.words[1:]))
+    pairs = Counter(p for x in loose for p in pairs_of(x.words))
     marked = {p for p, n in pairs.most_common(3) if n >= 3}
     hit = 0
-    for x in loose:
-        on = bytearray(len(x.words))
-        for k, p in enumerate(zip(x.words, x.words[1:])):
-            if p in marked:
-                on[k] = on[k + 1] = 1
-        hit += sum(on)
+    if marked:
+        for x in loose:
+            on = bytearray(len(x.words))
+            for k, p in enumerate(pairs_of(x.words)):
+                if p in marked:
+                    on[k] = on[k + 1] = 1
+            hit += sum(on)
     n = max(1, len(words))
     return {
         "words": len(words),
-        "links": loose_links,
+        "links": sum(x.links for x in loose),
+        "offers": sum(x.kind == "o" for x in loose),
+        "tags": len({w for x in loose if x.kind == "t" for w in x.words}),
         "loose": sum(shapes.values()) / max(1, weight),
         "top": sum(v for _, v in shapes.most_common(SHAPES)) / max(1, weight),
+        "offered": sum(x.weight for x in loose if x.kind == "o") / max(1, weight),
+        "tagged": sum(x.weight for x in loose if x.kind == "t") / max(1, weight),
+        "phrased": sum(x.weight for x in loose if x.kind == "k") / max(1, weight),
         "cover": hit / n,
-        "repeat": 1 - len(set(words)) / n,
+        "repeat": repeated(words),
         "figures": sum(min(x.figures, 3) for x in loose if not x.links) / n,
         "kinds": float(sum(len(w) > 2 or bool(_CJK.match(w)) for w in set(words))),
     }
 
 
-def repeat_bound(words: float) -> float:
-    """The least share of repeated words; longer texts of any kind repeat more of theirs."""
-    return 0.55 + 0.04 * math.log2(max(1.0, words / 32))
-
-
 def stuffed(m: dict[str, float]) -> bool:
     """Whether a post with these measures is keyword or link spam."""
     if m["loose"] < LOOSE or m["top"] < TOP:
         return False
-    if m["links"] >= LEAST_LINKS:
+    if m["tagged"] >= TAGGED and m["tags"] >= LEAST_TAGS and m["kinds"] >= LEAST_TAGS:
+        return True
+    if m["links"] >= LEAST_LINKS or m["offers"] >= LEAST_OFFERS and m["offered"] >= TOP:
         return True
     return (
         m["words"] >= LEAST_WORDS
         and m["kinds"] >= 2
         and m["figures"] < FIGURES
-        and (m["cover"] >= COVER or m["repeat"] >= repeat_bound(m["words"]))
+        and (m["phrased"] >= LOOSE or m["cover"] >= COVER or m["repeat"] >= repeat_bound(m["words"]))
     )
 
 
@@ -198,7 +312,7 @@ def stuffed_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def page_shapes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (shape, pages, lines, words): the shapes of lines over the whole corpus."""
+    """Rows (shape, pages, units, words): the shapes of units over the whole corpus."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -207,18 +321,18 @@ def page_shapes(docs: DataFrame, key: str, text: str) -> DataFrame:
             for t in b["t"]:
                 seen = Counter()
                 words = Counter()
-                for x in own_lines(t):
+                for x in own_units(plain(t)):
                     seen[x.shape] += 1
-                    words[x.shape] += x.weight
+                    words[x.shape] += len(x.words)
                 for shape, n in seen.items():
                     s = total.setdefault(shape, [0, 0, 0])
                     s[0] += 1
                     s[1] += n
                     s[2] += words[shape]
-            yield pd.DataFrame([(k, *v) for k, v in total.items()], columns=["shape", "pages", "lines", "words"])
+            yield pd.DataFrame([(k, *v) for k, v in total.items()], columns=["shape", "pages", "units", "words"])
 
-    rows = docs.select(F.col(text).alias("t")).where("t <> ''").mapInPandas(run, "shape string, pages long, lines long, words long")
-    return rows.groupBy("shape").agg(*(F.sum(c).alias(c) for c in ("pages", "lines", "words")))
+    rows = docs.select(F.col(text).alias("t")).where("t <> ''").mapInPandas(run, "shape string, pages long, units long, words long")
+    return rows.groupBy("shape").agg(*(F.sum(c).alias(c) for c in ("pages", "units", "words")))
 
 
 def p10_found(spark, sf_dir) -> DataFrame:
@@ -228,5 +342,5 @@ def p10_found(spark, sf_dir) -> DataFrame:
 
 
 def p10_shapes(spark, sf_dir) -> DataFrame:
-    """Rows (shape, pages, lines, words) of the line shapes of all documents."""
+    """Rows (shape, pages, units, words) of the shapes of units of all documents."""
     return page_shapes(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")

@@ -384,6 +384,17 @@ def test_packing(spark):
         ("\n".join(f"https://x{i}.test/a" for i in range(8)), True),
         ("Nice thread!\n<div style='display:none'>" + "roof repair price roof repair review cheap roof repair " * 5 + "</div>", True),
         ("g a r d e n   s h e d s   p r i c e\n" * 8, True),
+        ("Cheap tea! Tea for sale! Buy tea online! Tea coupon! Is tea safe! Best tea shop! Tea price!", True),
+        ("My fork cracked. " + "buy " + "roof repair discount, wholesale roof repair, roof repair online, " * 4, True),
+        ("shoes best shoes buy shoes shoes price best shoes buy buy shoes price shoes shoes best shoes.", True),
+        ("\n".join(f"SKU 4{i}317 Running shoes M {i}2.90 EUR -> sale" for i in range(1, 8)), True),
+        ("hide / willow / quarry / lantern / bolt", True),
+        ("saddle\nmeadow\nkettle\nhub\nrim", True),
+        (">> best trail lamps price * buy trail lamps online * trail lamps sale * cheap trail lamps", True),
+        ("Re: " + " ".join(f"https://x{i}.test/a" for i in range(8)), True),
+        ("WTB: oak panel, marking gauge, jack plane, hide glue", False),
+        ("For sale: jack plane, 25.00 EUR, hide glue, 4.00 EUR, pickup only", False),
+        ("Nobody here sells the valve!\n\nI never trusted the valve. Not sure the valve is the problem here, honestly.", False),
         ("I tried the filter last weekend. It rattles. My brother swears by the old one.\n\nSources: http://a.test/b, http://c.test/d, http://e.test/f, http://g.test/h", False),
         ("Reported this one, please remove it.\n> " + "roof repair price " * 20, False),
         ("\n".join(f"- {i}x tomato bed, {i * 7} mm" for i in range(1, 12)), False),
@@ -399,6 +410,19 @@ def test_stuffing(text, want):
     assert stuffing.stuffed(stuffing.measures(text)) is want
 
 
+def test_possible_loses_nothing(monkeypatch):
+    """The quick test for pages that cannot be flagged changes no verdict."""
+    import random
+
+    rng = random.Random(5)
+    words = ["roof", "repair", "buy", "the", "fork", "is", "good", "cheap", "x1y", "屋顶维修", "3.90 EUR", "54321", "https://a.test"]
+    texts = [rng.choice([" ", ", ", ". ", "\n", " / "]).join(rng.choices(words[: rng.randint(1, len(words))], k=rng.randint(0, 40))) for _ in range(3000)]
+    quick = [stuffing.stuffed(stuffing.measures(t)) for t in texts]
+    monkeypatch.setattr(stuffing, "possible", lambda body: True)
+    assert quick == [stuffing.stuffed(stuffing.measures(t)) for t in texts]
+    assert any(quick) and not all(quick)
+
+
 def test_stuffed_pages(spark):
     d = spark.createDataFrame([(1, "cheap shoes price\n" * 9, "x"), (2, None, "x"), (3, "word " * 40000, "x")], "doc_id long, text string, k string")
     got = {r.doc_id: r.stuffed for r in stuffing.stuffed_pages(d, "doc_id", "text").collect()}
