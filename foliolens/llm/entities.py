@@ -46,6 +46,7 @@ _ABOUT_WORDS = re.search(r"\^\(\?:([a-z|]+)\)", ABOUT)[1].split("|")
 _PART = re.compile(r"\b(?:part|teil|partie|resz|vol|no)? ?(ii|iii|iv|v|vi|vii|\d{1,2})\s*$")
 _SPECIAL = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "ı": "i", "&": " and "})
 _LONG = re.compile(r"[^\W_]{4,}")
+_SHORT = re.compile(r"[^\W_]{2,}")
 _INNER = re.compile(r"(?<=\w)[-'’](?=\w)")
 _RNG = np.random.default_rng(20240607)
 _MUL = (_RNG.integers(1, 1 << 62, 48, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -105,7 +106,7 @@ def title_of(title: str | None) -> tuple[str, str]:
 
 
 def author_names(authors: str | None) -> list[list[str]]:
-    """The folded tokens of each name of a list, at least four letters long."""
+    """The folded tokens of each name of a list, at least four letters long, or two in a name without such; the mark et al. is none."""
     if not authors:
         return []
     if "\\u" in authors:
@@ -113,7 +114,7 @@ def author_names(authors: str | None) -> list[list[str]]:
     t = _INNER.sub("", authors).translate(_TABLE)
     if not t.isascii():
         t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
-    return [_LONG.findall(x) for x in t.split('", "' if t.startswith("[") else ";")]
+    return [_LONG.findall(x) or [w for w in _SHORT.findall(x) if w not in ("et", "al")] for x in t.split('", "' if t.startswith("[") else ";")]
 
 
 def author_tokens(authors: str | None) -> list[str]:
@@ -254,11 +255,16 @@ def blocking_keys(titles, heads, minima, words, first, usual, second, usual2, ye
 def describe(batch: pa.RecordBatch, common: frozenset[str], probes: bool) -> pa.RecordBatch:
     """The rows' normal forms, sketches and blocking keys. probes: the rows are the references."""
     column = lambda c: batch.column(c).to_pylist()
-    forms = [title_of(t) for t in column("title")]
+
+    def each(f, values):
+        known = {x: f(x) for x in set(values)}
+        return [known[x] for x in values]
+
+    forms = each(title_of, column("title"))
     n = len(forms)
     bare = [t.replace(" ~", "").strip() for t, _ in forms]
-    names = [author_names(a) for a in column("authors")]
-    years = [year_of(y) for y in column("year")]
+    names = each(author_names, column("authors"))
+    years = each(year_of, column("year"))
     dois = [doi_of(d) for d in column("doi")]
     have = [k for k, t in enumerate(bare) if t]
     sk = np.zeros(n, dtype=np.int64)
@@ -272,14 +278,16 @@ def describe(batch: pa.RecordBatch, common: frozenset[str], probes: bool) -> pa.
     second = [[a for a in x[1] if a not in common] if len(x) > 1 else [] for x in names]
     usual = [[a for a in x[0] if a in common] if x else [] for x in names]
     usual2 = [[a for a in x[1] if a in common] if len(x) > 1 else [] for x in names]
-    venues = [venue_of(v) for v in column("venue")]
+    venues = each(venue_of, column("venue"))
     row, key = blocking_keys(bare, heads, minima, words, first, usual, second, usual2, years, venues, dois, probes)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
     # 24 bits of how the title begins, 24 of the first author, 14 of the year; 0 for what is missing
     brief = [(h & 0xFFFFFF) << 38 | (min(map(_crc, f)) & 0xFFFFFF if f else 0) << 14 | y for h, f, y in zip(heads, first, years, strict=True)]
     return pa.RecordBatch.from_arrays(
         [
+            batch.column("n"),
             batch.column("h"),
+            batch.column("g"),
             pa.array([t for t, _ in forms], pa.string()),
             pa.array([m for _, m in forms], pa.string()),
             pa.array([" ".join(sorted({w for name in x for w in name})) for x in names], pa.string()),
@@ -290,11 +298,11 @@ def describe(batch: pa.RecordBatch, common: frozenset[str], probes: bool) -> pa.
             pa.array(brief, pa.int64()),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(key)),
         ],
-        names=["h", "t", "mark", "a", "y", "d", "v", "s", "brief", "keys"],
+        names=["n", "h", "g", "t", "mark", "a", "y", "d", "v", "s", "brief", "keys"],
     )
 
 
-DESCRIBED = "h long, t string, mark string, a string, y int, d long, v string, s long, brief long, keys array<long>"
+DESCRIBED = "n long, h long, g long, t string, mark string, a string, y int, d long, v string, s long, brief long, keys array<long>"
 
 
 def word_differences(a: str, b: str) -> tuple[int, int, int]:
@@ -348,7 +356,9 @@ def author_agreement(a: str, b: str) -> tuple[int, int]:
     return n, len(a)
 
 
-FEATURES = ("missing_a", "missing_b", "slips", "tail", "authors", "authors_none", "no_authors", "year_same", "year_near", "year_far", "venue_same", "venue_differs", "mark_differs")
+#: The two hashes of the class of either side.
+CLASS = ("x_h", "x_g", "y_h", "y_g")
+FEATURES = ("missing_a", "missing_b", "slips", "tail", "authors", "authors_none", "no_authors", "year_same", "year_near", "year_two", "year_far", "venue_same", "venue_differs", "mark_differs")
 
 
 def features(p: pd.DataFrame) -> pd.DataFrame:
@@ -366,7 +376,7 @@ def features(p: pd.DataFrame) -> pd.DataFrame:
             (
                 0 if tail else min(ma, 4), 0 if tail else min(mb, 4), min(slips, 4), tail,
                 hit / n if n else 0.0, bool(n and not hit), not n,
-                gap == 0, gap == 1, gap > 1, bool(prefix), bool(xv and yv and not prefix), xm != ym,
+                gap == 0, gap == 1, gap == 2, gap > 2, bool(prefix), bool(xv and yv and not prefix), xm != ym,
             )
         )
     return pd.DataFrame(rows, columns=FEATURES, dtype="float64")
@@ -405,11 +415,14 @@ class Logistic:
 
 
 def _classes(df: DataFrame, id_col: str, venue: str) -> tuple[DataFrame, DataFrame]:
-    """(id, h) of the distinct rows, and one described row a class h of equal attributes."""
+    """(id, h, g) of the distinct rows, and one row a class of equal attributes; a null counts as blank.
+
+    h and g are two hashes of the attributes, 128 bits together; n numbers the classes.
+    """
     cols = ["title", "authors", "year", "doi", venue]
-    h = F.xxhash64(*(F.coalesce(F.col(c), F.lit("")) for c in cols))
-    wide = df.select(F.col(id_col).alias("id"), *cols).withColumn("h", h).withColumnRenamed(venue, "venue")
-    return wide.select("id", "h").distinct(), wide.drop("id").distinct()
+    wide = df.select(F.col(id_col).alias("id"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols))
+    wide = wide.withColumns({"h": F.xxhash64(*cols), "g": F.xxhash64(F.lit(1), *cols)}).withColumnRenamed(venue, "venue")
+    return wide.select("id", "h", "g").distinct(), wide.drop("id").distinct().withColumn("n", F.monotonically_increasing_id())
 
 
 def common_authors(*described: DataFrame) -> frozenset[str]:
@@ -421,7 +434,7 @@ def common_authors(*described: DataFrame) -> frozenset[str]:
     total = both.count()
     least = max(20, int(COMMON_SHARE * total))
     token = F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("authors", r"(?U)(?<=\w)[-'’](?=\w)", "")), r"(?U)\W+")))
-    rows = both.where("authors <> ''").select(token.alias("token")).where("length(token) >= 4").groupBy("token").count().where(F.col("count") >= least // 4).collect()
+    rows = both.where("authors <> ''").select(token.alias("token")).where("length(token) >= 2").groupBy("token").count().where(F.col("count") >= least // 4).collect()
     counts: dict[str, int] = {}
     for r in rows:
         counts[folded(r.token)] = counts.get(folded(r.token), 0) + r["count"]
@@ -429,10 +442,10 @@ def common_authors(*described: DataFrame) -> frozenset[str]:
 
 
 def candidate_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Rows (x_h, y_h) of the described rows that share a blocking key and whose titles' sketches agree enough."""
+    """Rows (x_n, y_n) of the described rows that share a blocking key and whose titles' sketches agree enough."""
     # sent with the key: the class, the sketch, and the title's beginning, first author and year in brief
-    a = x.select(F.explode("keys").alias("key"), F.col("h").alias("x_h"), F.col("s").alias("x_s"), F.col("brief").alias("x_b"))
-    b = y.select(F.explode("keys").alias("key"), F.col("h").alias("y_h"), F.col("s").alias("y_s"), F.col("brief").alias("y_b"))
+    a = x.select(F.explode("keys").alias("key"), F.col("n").alias("x_n"), F.col("s").alias("x_s"), F.col("brief").alias("x_b"))
+    b = y.select(F.explode("keys").alias("key"), F.col("n").alias("y_n"), F.col("s").alias("y_s"), F.col("brief").alias("y_b"))
     d = F.col("x_s").bitwiseXOR(F.col("y_s"))
     any_bit = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3))
     equal = F.lit(16) - F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
@@ -443,7 +456,7 @@ def candidate_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
 
     likeness = equal + agreement(38, 24, 4, 0) + agreement(14, 24, 3, 2) + agreement(0, 14, 2, 1)
     blank = (F.col("x_s") == 0) | (F.col("y_s") == 0)
-    return a.join(b, "key").where(blank | (likeness >= LEAST_LIKENESS)).select("x_h", "y_h").distinct()
+    return a.join(b, "key").where(blank | (likeness >= LEAST_LIKENESS)).select("x_n", "y_n").distinct()
 
 
 def matches(refs: DataFrame, records: DataFrame) -> DataFrame:
@@ -467,10 +480,10 @@ def matches(refs: DataFrame, records: DataFrame) -> DataFrame:
 
     x, y = described(ref_rows, True), described(rec_rows, False)
     pairs = written(candidate_pairs(x, y))
-    cols = ("t", "mark", "a", "y", "d", "v")
-    wide = pairs.join(x.select(F.col("h").alias("x_h"), *(F.col(c).alias(f"x_{c}") for c in cols)), "x_h").join(
-        y.select(F.col("h").alias("y_h"), *(F.col(c).alias(f"y_{c}") for c in cols)), "y_h"
-    )
+    cols = ("n", "h", "g", "t", "mark", "a", "y", "d", "v")
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{s}_{c}") for c in cols))
+    # the records, of which there are fewer, are met first, so that a pair carries one text through one shuffle only
+    wide = pairs.join(side(y, "y"), "y_n").join(side(x, "x"), "x_n")
 
     def measure(batches):
         for b in batches:
@@ -479,23 +492,30 @@ def matches(refs: DataFrame, records: DataFrame) -> DataFrame:
             other = (b["x_d"] != 0) & (b["y_d"] != 0) & ~same
             f["doi"] = np.where(same, 1, np.where(other, -1, 0))
             f["titled"] = ((b["x_t"] != "") & (b["y_t"] != "")).astype("float64")
-            yield f.astype("float64").assign(x_h=b["x_h"].to_numpy(), y_h=b["y_h"].to_numpy())
+            yield f.astype("float64").assign(**{c: b[c].to_numpy() for c in CLASS})
 
     names = [*FEATURES, "doi", "titled"]
-    measured = written(wide.mapInPandas(measure, ", ".join(f"{n} double" for n in names) + ", x_h long, y_h long"))
+    measured = written(wide.mapInPandas(measure, ", ".join([*(f"{n} double" for n in names), *(f"{c} long" for c in CLASS)])))
     labelled = measured.where("doi <> 0 and titled = 1")
-    n = labelled.count()
+    agreed = (F.col("authors") > 0.99) & (F.col("authors_none") == 0) & (F.col("no_authors") == 0) & (F.col("year_same") == 1) & (F.col("venue_same") == 1)
+    equal_doi = (F.col("titled") == 1) & (F.col("doi") == 1)
+    s = measured.agg(
+        F.count_if((F.col("titled") == 1) & (F.col("doi") != 0)).alias("n"),
+        F.count_if((F.col("titled") == 0) & agreed & (F.col("doi") == 1)).alias("hit"),
+        F.count_if((F.col("titled") == 0) & agreed & (F.col("doi") == -1)).alias("miss"),
+        F.count_if(equal_doi & (F.col("missing_a") + F.col("missing_b") == 0)).alias("doi_hit"),
+        F.count_if(equal_doi).alias("doi_all"),
+    ).first()
+    n = s["n"]
+    # of pairs without a title: how often agreement of all else comes with the same doi, and the same doi with the same title
+    by_rest, by_doi = (s["hit"] + 1) / (s["hit"] + s["miss"] + 1.5), (s["doi_hit"] + 1) / (s["doi_all"] + 1.5)
     model = None
     if n:
         share = min(1.0, 1.2 * SAMPLE / n)
-        draw = F.pmod(F.xxhash64("x_h", "y_h"), F.lit(1_000_000))
-        drawn = labelled.where(draw < int(share * 1_000_000)).orderBy(draw, "x_h", "y_h").limit(SAMPLE).toPandas()
-        drawn = drawn.sort_values(["x_h", "y_h"])
+        draw = F.pmod(F.xxhash64(*CLASS), F.lit(1_000_000))
+        drawn = labelled.where(draw < int(share * 1_000_000)).orderBy(draw, *CLASS).limit(SAMPLE).toPandas()
+        drawn = drawn.sort_values(list(CLASS))
         label = (drawn["doi"] > 0).to_numpy(dtype="float64")
-        # the doi of a reference may be another work's: where all else agrees, or nothing does, the label follows that
-        same = (drawn["missing_a"] + drawn["missing_b"] + drawn["mark_differs"] == 0) & (drawn["authors"] > 0.6) & (drawn["year_far"] == 0)
-        none = (drawn["missing_a"] + drawn["missing_b"] >= 3) & (drawn["authors"] < 0.5)
-        label = np.where(same, 1.0, np.where(none, 0.0, label))
         if 0 < label.sum() < len(label):
             model = Logistic(drawn[list(FEATURES)].to_numpy(), label)
 
@@ -503,14 +523,15 @@ def matches(refs: DataFrame, records: DataFrame) -> DataFrame:
         for b in batches:
             p = model.probability(b[list(FEATURES)].to_numpy()) if model is not None else np.zeros(len(b))
             agree = (b["authors"] > 0.99) & (b["authors_none"] == 0) & (b["no_authors"] == 0) & (b["year_same"] == 1)
-            untitled = np.where(agree & ((b["venue_same"] == 1) | (b["doi"] == 1)), 0.9, np.where((b["doi"] == 1) & (b["authors"] > 0.5), 0.8, 0.0))
+            rest = np.where(agree & (b["venue_same"] == 1), by_rest, 0.0)
+            untitled = np.maximum(rest, np.where((b["doi"] == 1) & (b["authors"] > 0.5), by_doi, 0.0))
             p = np.where(b["titled"] == 1, p, untitled)
-            yield pd.DataFrame({"x_h": b["x_h"], "y_h": b["y_h"], "confidence": p, "exact": exact(b)})
+            yield b[list(CLASS)].assign(confidence=p, exact=exact(b))
 
-    scored = measured.mapInPandas(judge, "x_h long, y_h long, confidence double, exact boolean").where((F.col("confidence") >= ACCEPT) & F.col("exact"))
+    scored = measured.mapInPandas(judge, ", ".join(f"{c} long" for c in CLASS) + ", confidence double, exact boolean").where((F.col("confidence") >= ACCEPT) & F.col("exact"))
     return (
-        scored.join(ref_ids.withColumnsRenamed({"h": "x_h", "id": "ref_id"}), "x_h")
-        .join(rec_ids.withColumnsRenamed({"h": "y_h", "id": "record_id"}), "y_h")
+        scored.join(ref_ids.withColumnsRenamed({"h": "x_h", "g": "x_g", "id": "ref_id"}), ["x_h", "x_g"])
+        .join(rec_ids.withColumnsRenamed({"h": "y_h", "g": "y_g", "id": "record_id"}), ["y_h", "y_g"])
         .select("ref_id", "record_id", "confidence")
     )
 
@@ -519,9 +540,10 @@ def exact(b: pd.DataFrame) -> np.ndarray:
     """What no probability may outweigh: parts and works about a work are others, so are works whose
     titles differ in a word (one that is left out aside), and works of the same title by other people or of a far year by unknown ones."""
     titled = b["titled"] == 1
-    lost = (b["missing_a"] + b["missing_b"] == 1) & (b["year_far"] == 0) & ((b["authors"] >= 0.5) | (b["doi"] == 1))
+    near = b["year_far"] + b["year_two"] == 0
+    lost = (b["missing_a"] + b["missing_b"] == 1) & near & ((b["authors"] >= 0.5) | (b["doi"] == 1))
     same_title = ((b["missing_a"] + b["missing_b"] == 0) | lost) & (b["mark_differs"] == 0)
-    people = (b["authors"] >= 0.5) | ((b["no_authors"] == 1) & (b["year_far"] == 0))
+    people = (b["authors"] >= 0.5) | ((b["no_authors"] == 1) & near)
     return (~titled | (same_title & people)).to_numpy()
 
 

@@ -103,9 +103,9 @@ def test_entities_of_common_authors_meet_without_a_year():
 
     def keys(titles, authors, years, probes):
         n = len(titles)
-        cols = {"h": list(range(n)), "title": titles, "authors": [authors] * n, "year": years, "doi": [None] * n, "venue": [None] * n}
-        schema = pa.schema([("h", pa.int64()), *((c, pa.string()) for c in list(cols)[1:])])
-        return entities.describe(pa.RecordBatch.from_pydict(cols, schema), common, probes).column(9).to_pylist()
+        cols = {c: list(range(n)) for c in "nhg"} | {"title": titles, "authors": [authors] * n, "year": years, "doi": [None] * n, "venue": [None] * n}
+        schema = pa.schema([*((c, pa.int64()) for c in "nhg"), *((c, pa.string()) for c in list(cols)[3:])])
+        return entities.describe(pa.RecordBatch.from_pydict(cols, schema), common, probes).column(11).to_pylist()
 
     titles = [t for t, *_ in _works(150)]
     slips = [t.replace("study", "stuudy").replace("review", "revview").replace("survey", "survvey") for t in titles]
@@ -116,6 +116,38 @@ def test_entities_of_common_authors_meet_without_a_year():
             assert sum(bool(set(x) & set(y)) for x, y in zip(a, b, strict=True)) >= 147
 
 
+def test_entities_count_null_as_blank(spark):
+    """Rows that differ in null and blank are one class, and every link comes once."""
+    t, a, y, *_ = _works(1)[0]
+    refs = [(k, t, a, y, d, j, "") for k, (d, j) in enumerate([(None, ""), ("", None), ("", ""), (None, None)])]
+    recs = [(k, t, a, y, d, j, "") for k, (d, j) in enumerate([(None, ""), ("", None)])]
+    # other works, so that there is something to learn from
+    refs += [(10 + k, *w, "") for k, w in enumerate(_works(60)[1:])]
+    recs += [(10 + k, *w, "") for k, w in enumerate(_works(60)[1:])]
+    got = [(r.ref_id, r.record_id) for r in entities.matches(spark.createDataFrame(refs, REF), spark.createDataFrame(recs, REC)).collect()]
+    assert len(got) == len(set(got))
+    assert {x for x in got if x[0] < 10} == {(k, n) for k in range(4) for n in range(2)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_entities_lose_nothing_by_blocking(spark, monkeypatch):
+    """Of the links that a comparison of all pairs finds, blocking finds at least 0.995."""
+    from pyspark.sql import functions as F
+
+    from foliolens.session import table
+
+    refs = table(spark, DATA, "original_references").select("ref_id", "title", "authors", "year", "doi", "journal")
+    recs = table(spark, DATA, "catalog_records").select("record_id", "title", "authors", "year", "doi", "venue")
+    found = {(r.ref_id, r.record_id) for r in entities.matches(refs, recs).collect()}
+    monkeypatch.setattr(entities, "candidate_pairs", lambda x, y: x.select(F.col("n").alias("x_n")).crossJoin(y.select(F.col("n").alias("y_n"))))
+    every = {(r.ref_id, r.record_id) for r in entities.matches(refs, recs).collect()}
+    assert len(found & every) >= 0.995 * len(every) and len(every) > 300
+
+
+def test_entities_know_short_names():
+    assert entities.author_names("Li, W.; Kim Ho; et al.; Brown, Anna") == [["li"], ["kim", "ho"], [], ["brown", "anna"]]
+
+
 def test_entities_of_empty_tables(spark):
     none = entities.matches(spark.createDataFrame([], REF), spark.createDataFrame([], REC))
     assert none.count() == 0
