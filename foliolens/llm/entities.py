@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,8 @@ _ABOUT_WORDS = re.search(r"\^\(\?:([a-z|]+)\)", ABOUT)[1].split("|")
 _PART = re.compile(r"\b(?:part|teil|partie|resz|vol|no)? ?(ii|iii|iv|v|vi|vii|\d{1,2})\s*$")
 _SPECIAL = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "ı": "i", "&": " and "})
 _LONG = re.compile(r"[^\W_]{4,}")
+_DOI = re.compile(r"10\.\d{4,9}/[^\s\"<>]+")
+_YEAR = re.compile(r"(?:18|19|20)\d\d")
 _SHORT = re.compile(r"[^\W_]{2,}")
 _INNER = re.compile(r"(?<=\w)[-'’](?=\w)")
 _RNG = np.random.default_rng(20240607)
@@ -68,15 +71,23 @@ def _table() -> dict[int, str | None]:
 
 _TABLE = _table()
 _MARKS = re.compile("[\u0300-\u036f]+")
+_BEYOND = re.compile("[^\x00-\x7f]+")
 _RUNS = re.compile(r"[^\W_]+")
 
 
+def _plain(text: str) -> str:
+    """Lower case without accents; only what is beyond ASCII goes through the table."""
+    t = text.replace("&", " and ") if "&" in text else text
+    if not t.isascii():
+        t = _BEYOND.sub(lambda m: m[0].translate(_TABLE), t)
+        if not t.isascii():
+            t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
+    return t.lower()
+
+
 def folded(text: str) -> str:
     """Lower case letters and figures without accents, single blanks."""
-    t = text.translate(_TABLE)
-    if not t.isascii():
-        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
-    return " ".join(_RUNS.findall(t))
+    return " ".join(_RUNS.findall(_plain(text)))
 
 
 def title_of(title: str | None) -> tuple[str, str]:
@@ -111,9 +122,9 @@ def author_names(authors: str | None) -> list[list[str]]:
         return []
     if "\\u" in authors:
         authors = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), authors)
-    t = _INNER.sub("", authors).translate(_TABLE)
-    if not t.isascii():
-        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
+    if "-" in authors or "'" in authors or "’" in authors:
+        authors = _INNER.sub("", authors)
+    t = _plain(authors)
     return [_LONG.findall(x) or [w for w in _SHORT.findall(x) if w not in ("et", "al")] for x in t.split('", "' if t.startswith("[") else ";")]
 
 
@@ -125,13 +136,12 @@ def doi_of(doi: str | None) -> str:
     """The doi's folded form, '' if it is none."""
     if not doi:
         return ""
-    d = re.sub(r"\s+", "", doi.lower())
-    m = re.search(r"10\.\d{4,9}/[^\s\"<>]+", d)
+    m = _DOI.search("".join(doi.lower().split()))
     return m.group().rstrip(".,;:)]}'") if m else ""
 
 
 def year_of(year: str | None) -> int:
-    m = re.search(r"(?:18|19|20)\d\d", year or "")
+    m = _YEAR.search(year or "")
     return int(m.group()) if m else 0
 
 
@@ -177,11 +187,12 @@ def sketches(titles: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def word_minima(titles: list[str]) -> np.ndarray:
     """A MinHash value of each title's words; titles are not empty."""
     lists = [[w for w in t.split() if len(w) > 3 and w not in STOP] or t.split()[:1] for t in titles]
-    flat = np.fromiter((zlib.crc32(w.encode()) for ws in lists for w in ws), dtype=np.uint64)
+    flat = np.fromiter((_crc(w) for ws in lists for w in ws), dtype=np.uint64)
     lengths = np.fromiter(map(len, lists), dtype=np.int64)
     return _minima(flat, np.cumsum(lengths) - lengths, range(16, 17))[0]
 
 
+@lru_cache(maxsize=1 << 17)
 def _crc(text: str) -> int:
     return zlib.crc32(text.encode())
 
@@ -218,13 +229,15 @@ def blocking_keys(titles, heads, minima, words, first, usual, second, usual2, ye
     r, c = row[t], crc[t] ^ (year[row[t]] * np.uint64(0xD6E8FEB86659FD93))
     for k in (0, 1):
         add(r, c ^ minima[k][r] ^ np.uint64(6 + k))
-    # and with more of the title, which needs no year
-    for lists, salt in ((usual, 8), (usual2, 11)):
+    # and with more of the title, which needs no year; an author with a rare token as well has less need of it
+    for lists, rare, salt, more in ((usual, first, 8, (True, True)), (usual2, second, 11, (False, False))):
         row, crc = tokens(lists)
+        lone = np.fromiter((not x for x in rare), dtype=bool, count=n)[row]
         t = titled[row]
-        r, c = row[t], crc[t]
-        for k, value in enumerate((begin[r], minima[0][r] ^ (minima[1][r] >> np.uint64(7)), minima[2][r] ^ (minima[3][r] >> np.uint64(7)))):
-            add(r, c ^ value ^ np.uint64(salt + k))
+        parts = (begin, minima[0] ^ (minima[1] >> np.uint64(7)), minima[2] ^ (minima[3] >> np.uint64(7)))
+        for k, (value, always) in enumerate(zip(parts, (False, *more), strict=True)):
+            s = t if always else t & lone
+            add(row[s], crc[s] ^ value[row[s]] ^ np.uint64(salt + k))
     row, crc = tokens(first)
     if not (probes and titled.all()):
         # references without a title are looked for by author and year
@@ -281,8 +294,11 @@ def describe(batch: pa.RecordBatch, common: frozenset[str], probes: bool) -> pa.
     venues = each(venue_of, column("venue"))
     row, key = blocking_keys(bare, heads, minima, words, first, usual, second, usual2, years, venues, dois, probes)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
-    # 24 bits of how the title begins, 24 of the first author, 14 of the year; 0 for what is missing
-    brief = [(h & 0xFFFFFF) << 38 | (min(map(_crc, f)) & 0xFFFFFF if f else 0) << 14 | y for h, f, y in zip(heads, first, years, strict=True)]
+    people = [sorted({w for name in x for w in name}) for x in names]
+    brief = [
+        _bits(h, 14) << 50 | (_bits(min(map(_crc, f)), 12) << 38 if f else 0) | (y % 255 + 1 if y else 0) << 30 | min(len(ws), 15) << 26 | _initials(ws)
+        for h, f, y, ws in zip(heads, first, years, people, strict=True)
+    ]
     return pa.RecordBatch.from_arrays(
         [
             batch.column("n"),
@@ -290,21 +306,42 @@ def describe(batch: pa.RecordBatch, common: frozenset[str], probes: bool) -> pa.
             batch.column("g"),
             pa.array([t for t, _ in forms], pa.string()),
             pa.array([m for _, m in forms], pa.string()),
-            pa.array([" ".join(sorted({w for name in x for w in name})) for x in names], pa.string()),
+            pa.array([" ".join(ws) for ws in people], pa.string()),
             pa.array(years, pa.int32()),
             pa.array([_crc(d) << 32 | _crc(d[::-1]) >> 1 if d else 0 for d in dois], pa.uint64()).view(pa.int64()),
             pa.array(venues, pa.string()),
             pa.array(sk),
-            pa.array(brief, pa.int64()),
+            pa.array(brief, pa.uint64()).view(pa.int64()),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(key)),
         ],
         names=["n", "h", "g", "t", "mark", "a", "y", "d", "v", "s", "brief", "keys"],
     )
 
 
+def _bits(crc: int, n: int) -> int:
+    """n bits of a checksum, 0 only for 0."""
+    return crc and crc % ((1 << n) - 1) + 1
+
+
+def _initials(words: list[str]) -> int:
+    """The set of first letters of words, a bit each."""
+    out = 0
+    for w in words:
+        out |= 1 << (ord(w[0]) - 97) % 26
+    return out
+
+
 DESCRIBED = "n long, h long, g long, t string, mark string, a string, y int, d long, v string, s long, brief long, keys array<long>"
 
 
+_letters = lru_cache(maxsize=1 << 16)(frozenset)
+
+
+def _near(a: str, b: str, most: int) -> bool:
+    """Whether two words lie within so many edits; an edit changes the set of letters by two at most."""
+    return len(_letters(a) ^ _letters(b)) <= 2 * most and _distance(a, b) <= most
+
+
 def word_differences(a: str, b: str) -> tuple[int, int, int]:
     """(words of a without a counterpart in b, words of b without one in a, counterparts with slips).
 
@@ -322,18 +359,21 @@ def word_differences(a: str, b: str) -> tuple[int, int, int]:
         wa = wa[: len(wb)]
         if wa and wb and len(wa) == len(wb) and wa[-1].startswith(wb[-1]):
             wa, wb = wa[:-1], wb[:-1]
-    left, right = list(wa), list(wb)
+    right, left = list(wb), []
     for w in wa:
         if w in right:
             right.remove(w)
-            left.remove(w)
+        else:
+            left.append(w)
     slips = 0
-    for w in list(left):
-        near = [x for x in right if abs(len(x) - len(w)) <= 2 and _distance(w, x) <= (1 if min(len(w), len(x)) < 5 else 2)]
-        if near:
-            right.remove(near[0])
-            left.remove(w)
-            slips += 1
+    for w in list(left) if right else ():
+        size = len(w)
+        for k, x in enumerate(right):
+            if abs(len(x) - size) <= 2 and _near(w, x, 1 if min(size, len(x)) < 5 else 2):
+                del right[k]
+                left.remove(w)
+                slips += 1
+                break
     small = lambda ws: sum(len(w) > 3 for w in ws)
     return small(left), small(right), slips
 
@@ -342,17 +382,26 @@ def tail_only(a: str, b: str) -> bool:
     """Whether the longer title begins with the shorter one, slips aside."""
     wa, wb = a.replace(" ~", "").split(), b.replace(" ~", "").split()
     n = min(len(wa), len(wb))
-    return n >= 3 and all(x == y or _distance(x, y) <= 2 for x, y in zip(wa[:n], wb[:n]))
+    return n >= 3 and all(x == y or _near(x, y, 2) for x, y in zip(wa[:n], wb[:n]))
 
 
 def author_agreement(a: str, b: str) -> tuple[int, int]:
     """(tokens of the shorter of two strings of tokens that the other one has, slips allowed; size of the shorter list)."""
+    if a == b:
+        n = len(a.split())
+        return n, n
     a, b = sorted((a.split(), b.split()), key=len)
     other = set(b)
     n = 0
     for w in a:
-        if w in other or any(abs(len(x) - len(w)) <= 2 and x[:1] == w[:1] and (x.startswith(w) or _distance(w, x) <= 2) for x in b if len(w) > 4 or x[:2] == w[:2]):
+        if w in other:
             n += 1
+            continue
+        first, size = w[0], len(w)
+        for x in b:
+            if x[0] == first and abs(len(x) - size) <= 2 and (size > 4 or x[:2] == w[:2]) and (x.startswith(w) or _near(w, x, 2)):
+                n += 1
+                break
     return n, len(a)
 
 
@@ -363,23 +412,26 @@ FEATURES = ("missing_a", "missing_b", "slips", "tail", "authors", "authors_none"
 
 def features(p: pd.DataFrame) -> pd.DataFrame:
     """The features of pairs of described rows (columns x_..., y_...)."""
-    rows = []
-    for xt, yt, xm, ym, xa, ya, xy, yy, xv, yv in zip(
-        p["x_t"], p["y_t"], p["x_mark"], p["y_mark"], p["x_a"], p["y_a"], p["x_y"], p["y_y"], p["x_v"], p["y_v"], strict=True
-    ):
-        ma, mb, slips = word_differences(xt, yt) if xt and yt else (0, 0, 0)
-        tail = bool((ma == 0) != (mb == 0) and xt and yt and tail_only(xt, yt))
-        hit, n = author_agreement(xa, ya)
-        gap = abs(xy - yy) if xy and yy else -1
-        prefix = xv and yv and (xv == yv or xv.startswith(yv) or yv.startswith(xv))
-        rows.append(
-            (
-                0 if tail else min(ma, 4), 0 if tail else min(mb, 4), min(slips, 4), tail,
-                hit / n if n else 0.0, bool(n and not hit), not n,
-                gap == 0, gap == 1, gap == 2, gap > 2, bool(prefix), bool(xv and yv and not prefix), xm != ym,
-            )
-        )
-    return pd.DataFrame(rows, columns=FEATURES, dtype="float64")
+    n = len(p)
+    words = np.zeros((n, 4), dtype=np.int8)
+    people = np.zeros((n, 3))
+    venue = np.zeros((n, 2), dtype=bool)
+    for k, (xt, yt, xa, ya, xv, yv) in enumerate(zip(*(p[c].tolist() for c in ("x_t", "y_t", "x_a", "y_a", "x_v", "y_v")), strict=True)):
+        if xt and yt and xt != yt:
+            ma, mb, slips = word_differences(xt, yt)
+            tail = (ma == 0) != (mb == 0) and tail_only(xt, yt)
+            words[k] = (0, 0, min(slips, 4), 1) if tail else (min(ma, 4), min(mb, 4), min(slips, 4), 0)
+        hit, of = author_agreement(xa, ya)
+        people[k] = (hit / of, not hit, 0) if of else (0, 0, 1)
+        if xv and yv:
+            same = xv == yv or xv.startswith(yv) or yv.startswith(xv)
+            venue[k] = same, not same
+    x, y = p["x_y"].to_numpy(), p["y_y"].to_numpy()
+    gap = np.where((x > 0) & (y > 0), np.abs(x - y), -1)
+    out = dict(zip(("missing_a", "missing_b", "slips", "tail"), words.T)) | {"authors": people[:, 0], "authors_none": people[:, 1], "no_authors": people[:, 2]}
+    out |= {"year_same": gap == 0, "year_near": gap == 1, "year_two": gap == 2, "year_far": gap > 2}
+    out |= {"venue_same": venue[:, 0], "venue_differs": venue[:, 1], "mark_differs": p["x_mark"].to_numpy() != p["y_mark"].to_numpy()}
+    return pd.DataFrame(out)[list(FEATURES)].astype({c: "int8" for c in FEATURES if c != "authors"})
 
 
 class Logistic:
@@ -443,20 +495,30 @@ def common_authors(*described: DataFrame) -> frozenset[str]:
 
 def candidate_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     """Rows (x_n, y_n) of the described rows that share a blocking key and whose titles' sketches agree enough."""
-    # sent with the key: the class, the sketch, and the title's beginning, first author and year in brief
+    # sent with the key: the class, the sketch, and in brief how the title begins, the first author, the year, and how
+    # many author tokens there are and their first letters
     a = x.select(F.explode("keys").alias("key"), F.col("n").alias("x_n"), F.col("s").alias("x_s"), F.col("brief").alias("x_b"))
     b = y.select(F.explode("keys").alias("key"), F.col("n").alias("y_n"), F.col("s").alias("y_s"), F.col("brief").alias("y_b"))
     d = F.col("x_s").bitwiseXOR(F.col("y_s"))
     any_bit = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3))
     equal = F.lit(16) - F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
 
+    def part(side, shift, bits):
+        return F.shiftrightunsigned(F.col(side), shift).bitwiseAND(F.lit((1 << bits) - 1))
+
     def agreement(shift, bits, same, missing):
-        p, q = (F.shiftrightunsigned(F.col(c), shift).bitwiseAND(F.lit((1 << bits) - 1)) for c in ("x_b", "y_b"))
+        p, q = part("x_b", shift, bits), part("y_b", shift, bits)
         return F.when((p == 0) | (q == 0), missing).when(p == q, same).otherwise(0)
 
-    likeness = equal + agreement(38, 24, 4, 0) + agreement(14, 24, 3, 2) + agreement(0, 14, 2, 1)
+    likeness = equal + agreement(50, 14, 4, 0) + agreement(38, 12, 3, 2) + agreement(30, 8, 2, 1)
     blank = (F.col("x_s") == 0) | (F.col("y_s") == 0)
-    return a.join(b, "key").where(blank | (likeness >= LEAST_LIKENESS)).select("x_n", "y_n").distinct()
+    # half of the tokens of the shorter list of authors must agree, which takes the same first letters; those that share
+    # a letter with another token count once
+    x_of, y_of, x_in, y_in = part("x_b", 26, 4), part("y_b", 26, 4), part("x_b", 0, 26), part("y_b", 0, 26)
+    of = F.least(x_of, y_of)
+    least = F.when(of < 15, F.ceil(of / 2) - of + F.bit_count(F.when(x_of <= y_of, x_in).otherwise(y_in))).otherwise(1)
+    people = (of == 0) | (F.bit_count(x_in.bitwiseAND(y_in)) >= F.greatest(least, F.lit(1)))
+    return a.join(b, "key").where(people & (blank | (likeness >= LEAST_LIKENESS))).select("x_n", "y_n").distinct()
 
 
 def matches(refs: DataFrame, records: DataFrame) -> DataFrame:
@@ -491,11 +553,11 @@ def matches(refs: DataFrame, records: DataFrame) -> DataFrame:
             same = (b["x_d"] == b["y_d"]) & (b["x_d"] != 0)
             other = (b["x_d"] != 0) & (b["y_d"] != 0) & ~same
             f["doi"] = np.where(same, 1, np.where(other, -1, 0))
-            f["titled"] = ((b["x_t"] != "") & (b["y_t"] != "")).astype("float64")
-            yield f.astype("float64").assign(**{c: b[c].to_numpy() for c in CLASS})
+            f["titled"] = (b["x_t"] != "") & (b["y_t"] != "")
+            yield f.astype({"doi": "int8", "titled": "int8"}).assign(**{c: b[c].to_numpy() for c in CLASS})
 
     names = [*FEATURES, "doi", "titled"]
-    measured = written(wide.mapInPandas(measure, ", ".join([*(f"{n} double" for n in names), *(f"{c} long" for c in CLASS)])))
+    measured = written(wide.mapInPandas(measure, ", ".join([*(f"{n} {'double' if n == 'authors' else 'tinyint'}" for n in names), *(f"{c} long" for c in CLASS)])))
     labelled = measured.where("doi <> 0 and titled = 1")
     agreed = (F.col("authors") > 0.99) & (F.col("authors_none") == 0) & (F.col("no_authors") == 0) & (F.col("year_same") == 1) & (F.col("venue_same") == 1)
     equal_doi = (F.col("titled") == 1) & (F.col("doi") == 1)
