@@ -199,9 +199,9 @@ def similarity_join(values: DataFrame, entries: DataFrame, threshold: float = TH
         keep = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
         return df.select(*cols, "n", F.posexplode(F.slice("set", 1, keep)).alias("pos", "gram"))
 
-    # dealt out evenly before the sets multiply
+    # read back as a few small files, so dealt out evenly again before the sets multiply
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    v_sets = written(sets(values.select("key").repartition(parts, "key"), "key"))
+    v_sets = written(sets(values.select("key"), "key")).repartition(parts, "key")
     e_sets = sets(entries.select("rid", "key"), "rid")
     v = prefixes(v_sets, "key").withColumnsRenamed({"n": "v_n", "pos": "v_pos"})
     e = prefixes(e_sets, "rid").withColumnsRenamed({"n": "e_n", "pos": "e_pos"})
