@@ -8,9 +8,11 @@ and where the document says nothing, from the counts of the whole corpus.
 Scripts have rules of their own: danda, ideographic stop, Arabic and Greek
 question mark, Thai blanks.
 
-Three passes: counts of tokens in every document, summed over the corpus; each
-document's own ambiguous tokens joined with those sums; the split itself. No table
-of the corpus is broadcast or collected.
+One pass reads every document and writes the counts of its tokens, summed over the
+partition, and those of its own ambiguous tokens; these are joined with the sums of the
+corpus; the second pass splits. No table of the corpus is broadcast or collected.
+Tokens longer than LONGEST characters, such as sentences of scripts without blanks,
+have no counts.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolens.session import ship, table
+from foliolens.session import ship, table, written
 
 # Brackets and quotes, and what may close what they open.
 PAIRS = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "《": "》", "【": "】", "«": "»", "“": "”", "„": "“”", "‹": "›", '"': '"'}
@@ -49,6 +51,10 @@ _IMAGE = re.compile(r"\s*!\[[^\]]*\]\([^)]*\)\s*$")
 _CAPTION = re.compile(r"\s*(\*\*)?(Figure|Table)\s+\d+", re.I)
 _RULE = re.compile(r"\s*(-{3,}|={3,}|\*{3,}|_{3,})\s*$")
 CORE = OPENERS + CLOSERS + ",;:!?…،؛"
+LONGEST = 60
+_PAIRED = re.compile(f"[{re.escape(OPENERS + CLOSERS)}]")
+_INNER_STOP = re.compile(rf"[^\W\d_]{{2,}}(?=\.[^\W\d_])|(?<=[{re.escape(STOPS)}{re.escape(OPENERS + CLOSERS)}])[^\W_]+(?:[-'’.][^\W_]+)*")
+_ENDS = frozenset(STOPS + CLOSERS)
 STATS = ("per", "inner", "noper", "common", "other", "lower", "start", "mid")
 
 
@@ -71,6 +77,7 @@ def blocks(text: str):
     at, para, formula = 0, None, None
     before_blank = True
     lines = text.split("\n")
+    last_formula = max((k for k, line in enumerate(lines) if "$$" in line), default=-1) if "$$" in text else -1
     for k, line in enumerate(lines):
         end = at + len(line)
         special = False
@@ -86,7 +93,7 @@ def blocks(text: str):
             special = None
         elif stripped.startswith("$$"):
             special = True
-            if stripped.count("$$") < 2 and any("$$" in x for x in lines[k + 1 : k + 30]):
+            if stripped.count("$$") < 2 and last_formula > k:
                 formula = at
         elif _HEADING.match(line) or _ROW.match(line) or _IMAGE.match(line) or _RULE.match(line):
             special = True
@@ -289,7 +296,8 @@ class Splitter:
     def _pairs(self, p: str) -> dict[int, int]:
         out: dict[int, int] = {}
         stack: list[tuple[str, int]] = []
-        for i, c in enumerate(p):
+        for m in _PAIRED.finditer(p):
+            i, c = m.start(), m.group()
             if c == '"':
                 if any(o == '"' for o, _ in stack):
                     while stack[-1][0] != '"':
@@ -402,79 +410,95 @@ class Splitter:
 _COUNTS = ", ".join(f"{s} long" for s in STATS)
 
 
-def token_counts(docs: DataFrame, text: str) -> DataFrame:
-    """Rows (token, counts...) of all documents, pre-aggregated in every partition."""
+def ambiguous(text: str) -> set[str]:
+    """The tokens of a text whose counts its split may need."""
+    out = set()
+    for start, end, whole in blocks(text):
+        if whole:
+            continue
+        words = text[start:end].split()
+        for k, raw in enumerate(words):
+            if raw[-1] in _ENDS:
+                tail = raw.rstrip(CLOSERS)[-1:]
+                if tail and tail in STOPS:
+                    if a := raw.strip(CORE).rstrip("."):
+                        out.add(a)
+                    if k + 1 < len(words) and (w := _WORD.search(words[k + 1])):
+                        out |= {w.group(), w.group().lower()}
+            if not raw.isalnum() and not raw[:-1].isalnum():
+                for part in _INNER_STOP.findall(raw):
+                    out |= {part, part.lower()}
+    return out
+
+
+_ROWS = ", ".join(["token string", *(f"{s} int" for s in STATS)])
+
+
+def readings(docs: DataFrame, key: str, text: str, wanted=None) -> DataFrame:
+    """Rows (k, token, counts...): of each document those of its ambiguous tokens, and with k null sums over all tokens of
+    several documents. wanted: a condition on the documents that are to be split; the others count in the sums only."""
     ship(docs.sparkSession)
+    kind = dict(docs.dtypes)[key]
 
-    def count(batches):
+    def frame(keys, rows):
+        return pd.DataFrame(rows, columns=["token", *STATS]).assign(k=pd.Series(keys, dtype=object))[["k", "token", *STATS]]
+
+    def read(batches):
         total: dict[str, list[int]] = {}
         for batch in batches:
-            for t in batch["t"]:
-                for token, s in evidence(t).items():
-                    if len(token) > 60:
+            keys, rows = [], []
+            for key, t, split in zip(batch["k"].tolist(), batch["t"], batch["wanted"], strict=True):
+                seen = evidence(t)
+                for token in ambiguous(t) if split else ():
+                    if len(token) <= LONGEST:
+                        keys.append(key)
+                        rows.append((token, *(seen.get(token) or (0,) * len(STATS))))
+                for token, s in seen.items():
+                    if len(token) > LONGEST:
                         continue
                     if (have := total.get(token)) is None:
-                        total[token] = list(s)
+                        total[token] = s
                     else:
-                        for k, n in enumerate(s):
-                            have[k] += n
-                if len(total) > 200_000:
-                    yield pd.DataFrame([(k, *v) for k, v in total.items()], columns=["token", *STATS])
-                    total = {}
-        yield pd.DataFrame([(k, *v) for k, v in total.items()], columns=["token", *STATS])
+                        for n, x in enumerate(s):
+                            if x:
+                                have[n] += x
+            yield frame(keys, rows)
+            if len(total) > 200_000:
+                yield frame([None] * len(total), [(x, *v) for x, v in total.items()])
+                total = {}
+        yield frame([None] * len(total), [(x, *v) for x, v in total.items()])
 
-    rows = docs.select(F.col(text).alias("t")).where("t <> ''").mapInPandas(count, f"token string, {_COUNTS}")
-    return rows.groupBy("token").agg(*(F.sum(s).alias(s) for s in STATS))
+    wanted = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), wanted.alias("wanted")).where("t <> ''")
+    return rows.mapInPandas(read, f"k {kind}, {_ROWS}")
 
 
-def ambiguous(text: str) -> list[str]:
-    """The tokens of a text whose corpus counts its split may need."""
-    out = set()
-    for start, end, whole in blocks(text):
-        if whole:
-            continue
-        words = text[start:end].split()
-        for k, raw in enumerate(words):
-            core = raw.strip(CORE)
-            tail = raw.rstrip(CLOSERS)[-1:]
-            if tail and tail in STOPS:
-                a = core.rstrip(".")
-                if a and len(a) <= 60:
-                    out.add(a)
-                if k + 1 < len(words) and (w := _WORD.search(words[k + 1])):
-                    out |= {w.group()[:60], w.group().lower()[:60]}
-            for part in re.findall(r"[^\W\d_]{2,}(?=\.[^\W\d_])", core):
-                out.add(part)
-    return sorted(out)
-
-
-def sentence_units(docs: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame:
+def sentence_units(docs: DataFrame, key: str, text: str, read: DataFrame) -> DataFrame:
     """Rows (key, unit, start_pos, end_pos, sentence), positions from 1, for every document.
 
-    Null, empty and blank texts have no units. Copies of a document must be removed before.
+    read: the readings of the corpus, of which docs are those wanted. Null, empty and blank texts
+    have no units. Copies of a document must be removed before.
     """
     ship(docs.sparkSession)
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t <> ''")
-
-    @F.pandas_udf("array<string>")
-    def tokens(s: pd.Series) -> pd.Series:
-        return s.map(ambiguous)
-
-    own = base.select("k", F.explode(tokens("t")).alias("token"))
-    known = (
-        own.join(counts, "token")
-        .groupBy("k")
-        .agg(F.collect_list(F.struct("token", F.array(*STATS).alias("n"))).alias("stats"))
-    )
+    counts = read.where("k is null").groupBy("token").agg(F.array(*(F.sum(s) for s in STATS)).alias("all"))
+    own = read.where("k is not null").select("k", "token", F.array(*STATS).alias("own"))
+    known = own.join(counts, "token").groupBy("k").agg(F.collect_list(F.struct("token", "own", "all")).alias("stats"))
 
     def split(batches):
         for batch in batches:
-            rows = []
-            for k, t, stats in zip(batch["k"], batch["t"], batch["stats"], strict=True):
-                corpus = {s["token"]: [int(x) for x in s["n"]] for s in stats} if stats is not None else {}
-                units = Splitter(evidence(t), corpus).units(t)
-                rows += [(k, n, s + 1, e, t[s:e]) for n, (s, e) in enumerate(units, 1)]
-            yield pd.DataFrame(rows, columns=["k", "unit", "start_pos", "end_pos", "sentence"])
+            out: dict[str, list] = {c: [] for c in ("k", "unit", "start_pos", "end_pos", "sentence")}
+            for k, t, stats in zip(batch["k"].tolist(), batch["t"], batch["stats"], strict=True):
+                mine, corpus = {}, {}
+                for s in stats if stats is not None else ():
+                    mine[s["token"]], corpus[s["token"]] = s["own"].tolist(), s["all"].tolist()
+                units = Splitter(mine, corpus).units(t)
+                out["k"] += [k] * len(units)
+                out["unit"] += range(1, len(units) + 1)
+                out["start_pos"] += [s + 1 for s, _ in units]
+                out["end_pos"] += [e for _, e in units]
+                out["sentence"] += [t[s:e] for s, e in units]
+            yield pd.DataFrame(out)
 
     kind = dict(docs.dtypes)[key]
     return (
@@ -487,11 +511,12 @@ def sentence_units(docs: DataFrame, key: str, text: str, counts: DataFrame) -> D
 def p3_sentences(spark, sf_dir) -> DataFrame:
     """The units of every original_converted text; copies of a row count once."""
     docs = table(spark, sf_dir, "original_converted").select("paper_id", "method", F.col("extracted_text").alias("text")).distinct()
-    return sentence_units(docs, "paper_id", "text", token_counts(docs, "text"))
+    return sentence_units(docs, "paper_id", "text", written(readings(docs, "paper_id", "text")))
 
 
 def p3_found(spark, sf_dir) -> DataFrame:
     """Rows (paper_id, end_pos) of the units of the papers with method markdown."""
     docs = table(spark, sf_dir, "original_converted").select("paper_id", "method", F.col("extracted_text").alias("text")).distinct()
-    some = docs.where("method = 'markdown'")
-    return sentence_units(some, "paper_id", "text", token_counts(docs, "text")).select("paper_id", "end_pos")
+    clean = F.col("method") == "markdown"
+    read = written(readings(docs, "paper_id", "text", clean))
+    return sentence_units(docs.where(clean), "paper_id", "text", read).select("paper_id", "end_pos")

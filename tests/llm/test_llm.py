@@ -246,13 +246,21 @@ def test_units_cover_every_character_once(text):
     assert "".join(text[a:b] for a, b in units).split() and "".join("".join(text[a:b] for a, b in units).split()) == "".join(text.split()) or not text.strip()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aBe .!?\"()。,1's", max_size=60))
+def test_ambiguous_tokens_are_all_the_split_needs(text):
+    every = sentences.evidence(text)
+    some = {t: every[t] for t in sentences.ambiguous(text) if t in every}
+    assert sentences.Splitter(some, {}).units(text) == sentences.Splitter(every, {}).units(text)
+
+
 def test_sentence_units_take_the_corpus(spark):
     rows = [(1, "He met Mme. Blanc there.", "x"), (2, "We saw mme. cases and mme. 3 and mme. x.", "x"), (3, None, "x"), (4, "", "x"), (5, " \n ", "x"), (6, "word " * 30000 + "end.", "x")]
     d = spark.createDataFrame(rows, "k long, t string, token string")
-    got = sentences.sentence_units(d, "k", "t", sentences.token_counts(d, "t")).groupBy("k").count().collect()
+    got = sentences.sentence_units(d, "k", "t", sentences.readings(d, "k", "t")).groupBy("k").count().collect()
     assert {r.k for r in got} == {1, 2, 6}
     empty = d.where("false")
-    assert sentences.sentence_units(empty, "k", "t", sentences.token_counts(empty, "t")).count() == 0
+    assert sentences.sentence_units(empty, "k", "t", sentences.readings(empty, "k", "t")).count() == 0
 
 
 # 4 scans
