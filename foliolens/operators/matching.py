@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from foliolens.functions.text import loose
 from foliolens.session import ship, written
 
-# Thresholds of title similarity, titles compared in one group, pattern of a doi.
+# Thresholds of title similarity, pattern of a doi.
 VERIFIED, REVIEW = 0.85, 0.70
-BLOCK = 4096
 VALID_DOI = r"^10\.\d{4,9}/\S+$"
+#: Rare words of a wanted and of a listed title, rare trigrams of titles of fewer words than SHORT, characters
+#: of a title up to which common subsequences are measured.
+RARE_WORDS, LISTED_WORDS, RARE_GRAMS, SHORT, LONG = 5, 16, 8, 7, 256
 
 
 def _valid(col):
@@ -45,76 +47,128 @@ def similarity(a, b):
     return ratio(a, b)
 
 
-def common_lengths(title: str, codes: np.ndarray, alphabet: dict[str, int]) -> np.ndarray:
-    """The longest common subsequence of title and each column of codes, bit-parallel over the columns.
-
-    codes: positions by titles, 0 behind the end. Twice this over both lengths bounds the ratio from above.
-    """
-    words = -(-len(title) // 64)
-    masks = np.zeros((words, len(alphabet) + 1), np.uint64)
-    for i, ch in enumerate(title):
-        if k := alphabet.get(ch):
-            masks[i // 64, k] |= np.uint64(1 << i % 64)
-    v = np.full((words, codes.shape[1]), ~np.uint64(0))
-    for row in codes:
+def common_length(titles: list[str], others: list[str]) -> np.ndarray:
+    """The lengths of the longest common subsequences of pairs of titles, bit-parallel over all of them at once."""
+    x_at, x = pd.factorize(np.array(titles, dtype=object))
+    y_at, y = pd.factorize(np.array(others, dtype=object))
+
+    def points(texts):
+        """The code points of texts, one row each, 0 behind the end."""
+        sizes = np.array([len(s) for s in texts])
+        out = np.zeros((len(texts), max(1, sizes.max(initial=0))), np.uint32)
+        out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        return out
+
+    px, py = points(x), points(y)
+    alphabet = np.unique(np.concatenate([[0], px.ravel()]))
+    rank = lambda p: np.where(alphabet[k := np.minimum(np.searchsorted(alphabet, p), len(alphabet) - 1)] == p, k, 0)
+    words = -(-px.shape[1] // 64)
+    masks = np.zeros((len(x), len(alphabet), words), np.uint64)
+    row, col = np.nonzero(px)
+    np.bitwise_or.at(masks, (row, rank(px)[row, col], col // 64), np.uint64(1) << (col % 64).astype(np.uint64))
+    v = np.full((words, len(x_at)), ~np.uint64(0))
+    for letters in rank(py).T:
+        m = masks[x_at, letters[y_at]]
         carry = None
         for w in range(words):
             old = v[w]
-            u = old & masks[w][row]
-            new = old + u
-            if w + 1 < words:
-                over = new < old
+            hit = old & m[:, w]
+            new = old + hit
+            over = new < old
             if carry is not None:
                 new += carry
-                if w + 1 < words:
-                    over |= new < carry
-            if w + 1 < words:
-                carry = over.astype(np.uint64)
-            v[w] = new | (old - u)
-    v[-1] |= ~np.uint64(0) << np.uint64((len(title) - 1) % 64) << np.uint64(1)
-    return 64 * words - np.bitwise_count(v).sum(0, dtype=np.int64)
-
-
-def nearest(titles: list[str], others: list[str], ids: list[int]) -> list[tuple[str, int, float]]:
-    """(title, id, ratio): the other title of the highest ratio from 0.70 on, the lowest id on ties; none is passed over."""
-    from difflib import SequenceMatcher
-
-    order = sorted(range(len(others)), key=lambda k: len(others[k]))
-    others, ids = [others[k] for k in order], [ids[k] for k in order]
-    lengths = np.array([len(u) for u in others])
-    alphabet = {ch: k for k, ch in enumerate(sorted(set("".join(others))), 1)}
-    codes = np.zeros((lengths.max(), len(others)), np.uint16 if len(alphabet) < 65_000 else np.uint32)
-    for k, u in enumerate(others):
-        codes[: len(u), k] = [alphabet[ch] for ch in u]
-    out = []
-    for t in titles:
-        # both bounds are rounded outwards
-        lo, hi = np.searchsorted(lengths, [len(t) * REVIEW / (2 - REVIEW) - 1e-6, len(t) * (2 - REVIEW) / REVIEW + 1e-6])
-        if lo == hi:
-            continue
-        part = lengths[lo:hi]
-        most = 2 * common_lengths(t, codes[: part[-1], lo:hi], alphabet) / (len(t) + part)
-        near = np.flatnonzero(most >= REVIEW - 1e-9)
-        best, at = 0.0, 0
-        for k in near[np.argsort(-most[near], kind="stable")]:
-            if most[k] < best - 1e-9:
-                break
-            r = SequenceMatcher(None, t, others[lo + k]).ratio()
-            if r >= REVIEW and (r > best or r == best and ids[lo + k] < at):
-                best, at = r, ids[lo + k]
-        if best:
-            out.append((t, at, best))
-    return out
+                over |= new < carry
+            carry = over.astype(np.uint64)
+            v[w] = new | (old - hit)
+    # what is in common is cleared, what lies behind the end of a title stays set
+    return np.bitwise_count(~v).sum(0, dtype=np.int64)
+
+
+def highest(a, b):
+    """The most that the ratio of two columns of titles can be: of what both have in order, or of the letters both have
+    where a title is longer than LONG; an Arrow UDF."""
+
+    @F.pandas_udf("double")
+    def most(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        out = np.ones(len(x))
+        sizes, others = x.str.len().to_numpy(), y.str.len().to_numpy()
+        brief = np.flatnonzero((sizes <= LONG) & (others <= LONG))
+        brief = brief[np.argsort(sizes[brief], kind="stable")]
+        for k in np.flatnonzero((sizes > LONG) | (others > LONG)):
+            out[k] = SequenceMatcher(None, x.iloc[k], y.iloc[k]).quick_ratio()
+        for part in np.array_split(brief, -(-len(brief) // 2000)) if len(brief) else ():
+            out[part] = 2 * common_length(x.iloc[part].tolist(), y.iloc[part].tolist()) / (sizes[part] + others[part])
+        return pd.Series(out)
+
+    return most(a, b)
+
+
+def _pairs(s, pair):
+    """pair(a, b, s) of all positions a < b of the sorted array s of tokens."""
+    to = lambda n: F.sequence(F.lit(1), n)
+    return F.flatten(F.transform(F.sequence(F.lit(2), F.size(s)), lambda b: F.transform(to(b - 1), lambda a: pair(a, b, s))))
+
+
+def _key(a, b, s):
+    return F.xxhash64(F.element_at(s, a), F.element_at(s, b))
+
+
+def _key_and_before(a, b, s):
+    """The key of a pair, and the tokens that would make an earlier one."""
+    return F.struct(_key(a, b, s).alias("key"), F.filter(F.slice(s, 1, b - 1), lambda w: w != F.element_at(s, a)).alias("before"))
+
+
+def _rarest(titles: DataFrame, tokens, counts: DataFrame, most: int) -> DataFrame:
+    """(t, rare): the at most `most` rarest tokens of each title, of those that counts (w, n) knows, at least two, sorted."""
+    each = titles.select("t", F.explode(tokens).alias("w")).join(counts, "w")
+    few = each.groupBy("t").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "w"))), 1, most)["w"].alias("rare"))
+    return few.where("size(rare) > 1").select("t", F.array_sort("rare").alias("rare"))
+
+
+def _words(col):
+    return F.array_distinct(F.split(col, " "))
+
+
+def _grams(col):
+    """The trigrams of a title; of an empty one none."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(col) - 2, F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda k: F.substring(col, k, F.lit(3))))
+
+
+def _near(wanted: DataFrame, listed: DataFrame) -> DataFrame:
+    """(t, tier, u, record_id, most): listed titles that share two rare tokens with a wanted one and may reach the
+    ratio of 0.70; most bounds it from above."""
+    spread = max(1, int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # few bytes make many pairs of tokens, and those many pairs of titles, so both are dealt out to all partitions
+    wanted = wanted.repartition(spread, "t")
+    titles = listed.select(F.col("u").alias("t")).distinct().repartition(spread, "t")
+    few = F.size(_words(F.col("t"))) < SHORT
+    parts = []
+    for tokens, ours, theirs, mine, its in ((_words, wanted, titles, RARE_WORDS, LISTED_WORDS), (_grams, wanted.where(few), titles.where(few), RARE_GRAMS, RARE_GRAMS)):
+        counts = theirs.select(F.explode(tokens(F.col("t"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+        x = _rarest(ours, tokens(F.col("t")), counts, mine).select("t", F.inline(_pairs(F.col("rare"), _key_and_before)))
+        y = _rarest(theirs, tokens(F.col("t")), counts, its).select(F.col("t").alias("u"), "rare", F.explode(_pairs(F.col("rare"), _key)).alias("key"))
+        bound = F.floor((F.length("t") + F.length("u")) * (1 - REVIEW) + 1e-6)
+        near = x.repartition(spread, "key").join(y.repartition(spread, "key"), "key").where(F.abs(F.length("t") - F.length("u")) <= bound)
+        # two titles that meet in several pairs are judged at the first one
+        near = near.where(~F.arrays_overlap("before", "rare"))
+        parts.append(near.select("t", "u", highest(F.col("t"), F.col("u")).alias("most")).where(F.col("most") >= REVIEW - 1e-9))
+    return parts[0].union(parts[1]).distinct().join(listed, "u")
 
 
 def lookup(refs: DataFrame, records: DataFrame) -> DataFrame:
     """(ref_id, tier, record_id, similarity): the best record of each catalog tier for each reference.
 
     A record of the same valid doi wins at once, with the similarity of the titles, or 1
-    where one is missing. Else the record of the most similar title is taken, from 0.70 on,
-    the lowest record_id on ties. Equal titles are joined; any other title is compared with
-    all titles of the tier, as so low a ratio asks for no word, beginning or q-gram in common.
-    Only the bounds of the ratio by length and longest common subsequence, which lose nothing, prune.
+    where one is missing. Else, as a catalog's search does, records are found by the words of
+    the title: an equal title, or two of the title's RARE_WORDS rarest words among those that
+    the catalogs know at all; titles of fewer than SHORT words, as those of scripts without
+    blanks, by two of their rarest trigrams. The record of the highest ratio from 0.70 on is
+    taken, the lowest record_id on ties. Every title found is judged: what two titles have in order
+    bounds their ratio, the one of the best bound is measured first, then only those whose bound is
+    not below that. A null or empty title finds nothing, nor is it found.
     """
     ship(refs.sparkSession)
     r = refs.select("ref_id", loose(F.coalesce("title", F.lit(""))).alias("t")).distinct()
@@ -122,36 +176,23 @@ def lookup(refs: DataFrame, records: DataFrame) -> DataFrame:
     by_doi = doi_matches(refs, records).join(r, "ref_id").join(c, "record_id").select("ref_id", "record_id", "tier", "t", "u")
     missing = (F.col("t") == "") | (F.col("u") == "")
     by_doi = by_doi.select("ref_id", "tier", "record_id", F.when(missing, 1.0).otherwise(similarity("t", "u")).alias("similarity"), F.lit(1).alias("exact"))
-    # distinct titles of a tier, and the distinct ones looked for in it
-    u = written(c.where("u <> ''").groupBy("tier", "u").agg(F.min("record_id").alias("record_id")))
-    wanted = r.where("t <> ''").crossJoin(u.select("tier").distinct()).join(by_doi.select("ref_id", "tier"), ["ref_id", "tier"], "left_anti")
-    wanted = written(wanted.join(u.select("tier", F.col("u").alias("t"), "record_id"), ["tier", "t"], "left"))
-    rest = wanted.where("record_id is null").select("tier", "t").distinct()
-    n, m = u.count(), rest.count()
-    blocks, groups = -(-n // BLOCK) or 1, -(-m // BLOCK) or 1
-    ids = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    a = rest.select("tier", "t", F.pmod(F.xxhash64("t"), F.lit(groups)).cast("int").alias("g"), ids(blocks).alias("b"))
-    b = u.select("tier", "u", "record_id", F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int").alias("b"), ids(groups).alias("g"))
-
-    def compared(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        found = nearest(x["t"].tolist(), y["u"].tolist(), y["record_id"].tolist()) if len(x) and len(y) else []
-        tier = pd.concat([x["tier"], y["tier"]])
-        return pd.DataFrame(
-            {
-                "tier": pd.Series([key[0]] * len(found), dtype=tier.dtype),
-                "t": pd.Series([f[0] for f in found], dtype=x["t"].dtype),
-                "record_id": pd.Series([f[1] for f in found], dtype=y["record_id"].dtype),
-                "similarity": pd.Series([f[2] for f in found], dtype="float64"),
-            }
-        )
-
-    kinds = dict(u.dtypes)
-    keys = ["tier", "g", "b"]
-    near = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compared, f"tier {kinds['tier']}, t string, record_id {kinds['record_id']}, similarity double")
-    equal = wanted.where("record_id is not null").select("ref_id", "tier", "record_id", F.lit(1.0).alias("similarity"), F.lit(0).alias("exact"))
-    near = wanted.drop("record_id").join(near, ["tier", "t"]).select("ref_id", "tier", "record_id", "similarity", F.lit(0).alias("exact"))
+    listed = c.where("u <> ''").groupBy("tier", "u").agg(F.min("record_id").alias("record_id"))
+    titles = r.where("t <> ''").select("t").distinct()
+    equal = titles.join(listed.withColumnRenamed("u", "t"), "t").select("t", "tier", "record_id", F.lit(1.0).alias("similarity"))
+    near = written(_near(titles, listed).join(equal.select("t", "tier"), ["t", "tier"], "left_anti"))
+    best_first = F.struct(F.col("most"), -F.col("record_id"))
+    first = near.groupBy("t", "tier").agg(F.max_by(F.struct("u", "record_id"), best_first).alias("x")).select("t", "tier", "x.*")
+    first = written(first.withColumn("similarity", similarity("t", "u")))
+    others = near.join(first.select("t", "tier", F.col("record_id").alias("at"), F.col("similarity").alias("least")), ["t", "tier"])
+    # the bound is rounded outwards
+    others = others.where((F.col("record_id") != F.col("at")) & (F.col("most") >= F.col("least") - 1e-9)).withColumn("similarity", similarity("t", "u"))
+    cols = ("t", "tier", "record_id", "similarity")
+    found = equal.unionByName(first.select(*cols)).unionByName(others.select(*cols)).where(F.col("similarity") >= REVIEW)
+    top = found.groupBy("t", "tier").agg(F.max(F.struct("similarity", (-F.col("record_id")).alias("last"))).alias("b"))
+    top = top.select("t", "tier", (-F.col("b.last")).alias("record_id"), "b.similarity")
+    by_title = r.join(top, "t").select("ref_id", "tier", "record_id", "similarity", F.lit(0).alias("exact"))
     best = Window.partitionBy("ref_id", "tier").orderBy(F.desc("exact"), F.desc("similarity"), "record_id")
-    return by_doi.unionByName(equal).unionByName(near).withColumn("r", F.row_number().over(best)).where("r = 1").select("ref_id", "tier", "record_id", "similarity")
+    return by_doi.unionByName(by_title).withColumn("r", F.row_number().over(best)).where("r = 1").select("ref_id", "tier", "record_id", "similarity")
 
 
 def cascade(answers: DataFrame) -> DataFrame:

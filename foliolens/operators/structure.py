@@ -202,30 +202,32 @@ def recovered_headings(docs: DataFrame) -> DataFrame:
     )
 
 
+def sentences_of(col, least: int = 10):
+    """The rough sentences of a text of at least so many words, an array of (pos, sentence)."""
+    parts = F.split(F.regexp_replace(col, r"([.!?])\s+", "$1\u0001"), "\u0001")
+    each = F.transform(parts, lambda s, k: F.struct((k + 1).alias("pos"), trimmed(s).alias("sentence")))
+    return F.filter(each, lambda x: count_of(x["sentence"], WORDS_CLASS) >= least)
+
+
 def sentences(docs: DataFrame, least: int = 10) -> DataFrame:
     """(doc_id, pos, sentence): rough sentences of at least so many words, after . ! ? and blanks."""
-    parts = F.split(F.regexp_replace("md", r"([.!?])\s+", "$1\u0001"), "\u0001")
-    return (
-        docs.where("md <> ''")
-        .select("doc_id", F.posexplode(F.transform(parts, trimmed)).alias("p", "sentence"))
-        .where(count_of(F.col("sentence"), WORDS_CLASS) >= least)
-        .select("doc_id", (F.col("p") + 1).alias("pos"), "sentence")
-    )
+    return docs.where("md <> ''").select("doc_id", F.inline(sentences_of(F.col("md"), least)))
 
 
-def paragraph_bounds(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_paragraph, last_paragraph): of more than 20 characters and 5 words; the last before a reference word."""
+def paragraphs_of(col) -> tuple:
+    """The first and the last paragraph of more than 20 characters and 5 words, the last before a reference word; '' for none."""
 
-    def good(col):
-        return F.filter(F.transform(F.split(col, r"\n\s*\n"), trimmed), lambda p: (F.length(p) > 20) & (count_of(p, WORDS_CLASS) >= 5))
+    def good(text):
+        return F.filter(F.transform(F.split(text, r"\n\s*\n"), trimmed), lambda p: (F.length(p) > 20) & (count_of(p, WORDS_CLASS) >= 5))
 
-    body = F.split("md", r"(?i)\b(?:References|Bibliography|Works\s+Cited)\b")[0]
-    first, last = good(F.col("md")), good(body)
-    return docs.where("md <> ''").select(
-        "doc_id",
-        F.coalesce(F.get(first, F.lit(0)), F.lit("")).alias("first_paragraph"),
-        F.coalesce(F.when(F.size(last) > 0, F.element_at(last, -1)), F.lit("")).alias("last_paragraph"),
-    )
+    first, last = good(col), good(F.split(col, r"(?i)\b(?:References|Bibliography|Works\s+Cited)\b")[0])
+    return F.coalesce(F.get(first, F.lit(0)), F.lit("")), F.coalesce(F.when(F.size(last) > 0, F.element_at(last, -1)), F.lit(""))
+
+
+def paragraph_bounds(docs: DataFrame) -> DataFrame:
+    """(doc_id, first_paragraph, last_paragraph): of more than 20 characters and 5 words; the last before a reference word."""
+    first, last = paragraphs_of(F.col("md"))
+    return docs.where("md <> ''").select("doc_id", first.alias("first_paragraph"), last.alias("last_paragraph"))
 
 
 def bounded_pieces(chunks: DataFrame, line_words: DataFrame, target: int, overlap: int) -> DataFrame:

@@ -11,6 +11,9 @@ from foliolens.operators import lint, structure
 from foliolens.plans.views import SEEDS
 
 
+REF_WORD = r"(?i)\b(?:References|Bibliography|Works\s+Cited)\b"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -153,14 +156,26 @@ CTES = {
   FROM refs r LEFT JOIN best b ON r.ref_id = b.ref_id)))""",
     "spots": f"""SELECT s.doc_id, count(*) AS checked, count(*) FILTER (WHERE contains({norm("p.md")}, {norm("s.sentence")})) AS hits FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || ':' || pos), pos) AS r FROM ({_sentences("pairs", "source")})) s JOIN pairs p USING (doc_id) WHERE r <= 20 GROUP BY s.doc_id""",
+    "source_refs": f"""SELECT doc_id, CASE WHEN rest IS NULL THEN 0 WHEN n1 >= 3 THEN n1 WHEN n2 >= 3 THEN n2 ELSE coalesce(list_position(list_transform(kept, lambda x: length(x) < 50 AND x = upper(x)
+   AND len(regexp_split_to_array(x, '\\s+')) <= 5), true) - 1, len(kept)) END AS n FROM (
+  SELECT doc_id, rest, {count("rest", "(?m)^\\s*\\[\\d+\\]")} AS n1, {count("rest", "(?:^|\\n)\\s*[A-Z][a-z]+[\\s,].*?\\(\\d{4}\\)")} AS n2, list_filter(list_transform(string_split(rest, chr(10)), lambda x: {trim("x")}), lambda x: x <> '') AS kept FROM (
+  SELECT doc_id, CASE WHEN regexp_matches(source, {q(REF_WORD)}) THEN regexp_replace(source, {q("(?s)^.*?" + REF_WORD)}, '') END AS rest FROM pairs))""",
+    "listed_refs": f"""SELECT doc_id, CASE WHEN n1 >= 3 THEN n1 WHEN n2 >= 3 THEN n2 WHEN n3 >= 3 THEN n3 ELSE n4 END AS n FROM (
+  SELECT doc_id, {count("rest", "(?m)^\\s*\\[?\\d+\\]?[.)]\\s")} AS n1, {count("rest", "(?m)^\\s*[-*]\\s+")} AS n2, {count("rest", "(?m)^\\s*[\\p{L}\\p{M}][^\\n,]{0,80},.*\\((?:19|20)\\d{2}[a-z]?\\)")} AS n3,
+   len(list_filter(list_transform(string_split(rest, chr(10)), lambda x: {trim("x")}), lambda x: x <> '')) AS n4 FROM (
+  SELECT doc_id, {trim("string_agg(text, chr(10) ORDER BY line_no)")} AS rest FROM (SELECT *, min(line_no) FILTER (WHERE ends AND line_no > start) OVER (PARTITION BY doc_id) AS stop FROM (
+   SELECT *, max(line_no) FILTER (WHERE is_ref) OVER (PARTITION BY doc_id) AS start FROM (SELECT doc_id, line_no, text, {label("text")} IN ({", ".join(map(q, b.LABELS))}) AS is_ref,
+    regexp_matches({trim("text")}, '^#{{1,3}}\\s+\\S') AND NOT regexp_matches({trim("text")}, {q(b.CONTINUATION)}) AS ends FROM lines))) WHERE line_no > start AND (stop IS NULL OR line_no < stop) GROUP BY doc_id))""",
     "conversion": f"""SELECT doc_id, CASE WHEN fs <> '' THEN 'FAIL' WHEN ws <> '' THEN 'WARN' ELSE 'PASS' END AS status, diff AS word_diff_pct, ws AS warnings, fs AS failures, checked AS spot_checked, hits AS spot_hits FROM (
   SELECT *, concat_ws(',', CASE WHEN sw = 0 THEN 'V0' END, CASE WHEN diff > 3 THEN 'V1' END, CASE WHEN st > 0 AND mt < st THEN 'V3' END, CASE WHEN checked - hits > 2 THEN 'V5' END,
    CASE WHEN NOT contains(hay, fp) OR NOT contains(hay, lp) THEN 'V6' END) AS fs,
-   concat_ws(',', CASE WHEN abs(sh - mh) > 3 THEN 'V2' END, CASE WHEN NOT (st > 0 AND mt < st) AND abs(st - mt) > 1 THEN 'V3' END, CASE WHEN sf >= 15 AND abs(sf - mf) / greatest(sf, 1) * 100 > 10 THEN 'V8' END) AS ws FROM (
+   concat_ws(',', CASE WHEN abs(sh - mh) > 3 THEN 'V2' END, CASE WHEN NOT (st > 0 AND mt < st) AND abs(st - mt) > 1 THEN 'V3' END,
+   CASE WHEN abs(sr - mr) > 2 THEN 'V4' END, CASE WHEN len(list_filter(caps, lambda c: NOT contains(hay, {norm("c[:100]")}))) > 0 THEN 'V7' END, CASE WHEN sf >= 15 AND abs(sf - mf) / greatest(sf, 1) * 100 > 10 THEN 'V8' END) AS ws FROM (
   SELECT p.doc_id, {count("source", t.WORDS_CLASS)} AS sw, abs({count("source", t.WORDS_CLASS)} - {count("md", t.WORDS_CLASS)}) / greatest({count("source", t.WORDS_CLASS)}, 1) * 100 AS diff,
    greatest(ts.blocks, ts.captions) AS st, greatest(tm.blocks, tm.captions) AS mt, coalesce(checked, 0) AS checked, coalesce(hits, 0) AS hits, {norm("md")} AS hay,
-   {norm("first_paragraph[:200]")} AS fp, {norm("last_paragraph[:200]")} AS lp, hs.n AS sh, hm.n AS mh, hs.fn AS sf, hm.fn AS mf
-  FROM pairs p LEFT JOIN ({_tables("source_lines")}) ts USING (doc_id) LEFT JOIN ({_tables("lines")}) tm USING (doc_id) LEFT JOIN spots USING (doc_id) LEFT JOIN ({_bounds("pairs", "source")}) USING (doc_id)
+   {norm("first_paragraph[:200]")} AS fp, {norm("last_paragraph[:200]")} AS lp, hs.n AS sh, hm.n AS mh, hs.fn AS sf, hm.fn AS mf, sr.n AS sr, coalesce(mr.n, 0) AS mr,
+   list_transform(regexp_extract_all(source, '(?i)(?:Figure|Fig\\.?)\\s*\\d+[.:]\\s*[^\\n]+'), lambda x: {trim("x")}) AS caps
+  FROM pairs p LEFT JOIN source_refs sr USING (doc_id) LEFT JOIN listed_refs mr USING (doc_id) LEFT JOIN ({_tables("source_lines")}) ts USING (doc_id) LEFT JOIN ({_tables("lines")}) tm USING (doc_id) LEFT JOIN spots USING (doc_id) LEFT JOIN ({_bounds("pairs", "source")}) USING (doc_id)
    LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE {label("regexp_extract(text, '^#{1,3}\\s+(.+)$', 1)")} <> '' AND regexp_matches(text, '^#{{1,3}}\\s+.+$')) AS n,
      count(*) FILTER (WHERE regexp_matches(text, '^\\s*\\[\\^\\d+\\]:')) AS fn FROM source_lines GROUP BY doc_id) hs USING (doc_id)
    LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE {label("regexp_extract(text, '^#{1,3}\\s+(.+)$', 1)")} <> '' AND regexp_matches(text, '^#{{1,3}}\\s+.+$')) AS n,
@@ -183,7 +198,7 @@ CTES = {
     "seedm3": seeded(0, 2),
     "consensus": "SELECT doc_id, rule_id, arg_min(severity, mode) AS severity, max(confidence) AS max_confidence, string_agg(DISTINCT mode, ',' ORDER BY mode) AS present_in, count(DISTINCT mode) AS modes FROM lint_modes GROUP BY doc_id, rule_id HAVING count(DISTINCT mode) >= 2",
 }
-ORDER = ["docs", "lines", "chunks", "labels", "res", "found_pairs", "section_pairs", "groups", "pairs", "sources", "source_lines", "pages", "refs", "biblio", "entries1", "entries", "answers", "best", "verdicts", "spots", "conversion", "native", "ref_counts", "modes", "seed0", "lint0", "seedm1", "seedm2", "seedm3", "lint_modes", "consensus"]
+ORDER = ["docs", "lines", "chunks", "labels", "res", "found_pairs", "section_pairs", "groups", "pairs", "sources", "source_lines", "pages", "refs", "biblio", "entries1", "entries", "answers", "best", "verdicts", "spots", "source_refs", "listed_refs", "conversion", "native", "ref_counts", "modes", "seed0", "lint0", "seedm1", "seedm2", "seedm3", "lint_modes", "consensus"]
 
 
 def sql(body: str) -> str:

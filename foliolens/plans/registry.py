@@ -20,8 +20,8 @@ def _chunks(s, d):
     return structure.chunk_map(views.docs(s, d))
 
 
-def _modes(s, d, whole=False):
-    c = fidelity.conversion_report(views.pairs(s, d), whole)
+def _modes(s, d, rough=False):
+    c = fidelity.conversion_report(views.pairs(s, d), rough)
     n = fidelity.native_report(views.pages(s, d))
     refs = views.references(s, d).groupBy(F.col("paper_id").alias("doc_id")).agg(F.count("*").alias("refs"))
     size = lambda col: F.size(F.filter(F.split(col, ","), lambda x: x != ""))
@@ -132,14 +132,14 @@ _QUERIES = {
     "lint_report": lambda s, d: lint.report(views.seeded(s, d), _found(s, d)),
     "table_blocks": lambda s, d: fidelity.table_blocks(views.docs(s, d)),
     "figure_captions": lambda s, d: fidelity.figure_captions(views.docs(s, d)),
-    "conversion_report": lambda s, d: fidelity.conversion_report(views.pairs(s, d), whole=False),
+    "conversion_report": lambda s, d: fidelity.conversion_report(views.pairs(s, d), rough=False),
     "conversion_report_whole": lambda s, d: fidelity.conversion_report(views.pairs(s, d)),
     "native_report": lambda s, d: fidelity.native_report(views.pages(s, d)),
     "spot_check": lambda s, d: fidelity.spot_check(views.pairs(s, d)),
     "fuzzy_spot_check": lambda s, d: fidelity.fuzzy_spot_check(views.pairs(s, d)),
     "mode_scores": lambda s, d: _modes(s, d).select("doc_id", "mode", "status", "score"),
     "best_mode": lambda s, d: compare.best(_modes(s, d)),
-    "mode_report": lambda s, d: compare.comparison(_modes(s, d, whole=True)),
+    "mode_report": lambda s, d: compare.comparison(_modes(s, d, rough=True)),
     "consensus": lambda s, d: lint.consensus(_modes_found(s, d)),
     "unique_findings": lambda s, d: lint.unique_findings(_modes_found(s, d)),
     "confidence_gate": _gate,

@@ -1,6 +1,7 @@
 """Operators of the core on small inputs."""
 
 import json
+import os
 
 import pytest
 from hypothesis import given, settings
@@ -11,6 +12,7 @@ from foliolens.operators import bibliography, compare, fidelity, lint, matching,
 from foliolens.sources import files
 from foliolens.streaming.ingest import ingest_markdown
 
+DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, md string"
 
 
@@ -171,13 +173,28 @@ def test_lookup_finds_titles_and_dois(spark):
     assert got == {(1, 10, 0.98), (2, 11, 1.0)}
 
 
+def _all_pairs(refs, recs, least):
+    """{(ref_id, tier): the highest ratio of two titles}, by comparing every pair."""
+    from difflib import SequenceMatcher
+
+    out = {}
+    for i, t in refs:
+        for n, tier, u in recs:
+            if t and u and 2 * min(len(t), len(u)) / (len(t) + len(u)) >= least:
+                m = SequenceMatcher(None, t, u)
+                if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (s := m.ratio()) >= least:
+                    x = out.get((i, tier))
+                    if x is None or s > x[0] or (s == x[0] and n < x[1]):
+                        out[i, tier] = (s, n)
+    return out
+
+
 def test_lookup_finds_what_comparing_all_titles_finds(spark):
     import random
-    from difflib import SequenceMatcher
 
     rng = random.Random(5)
     words = "volunteering inheritance wartime question lighthouses rural tenancy harbours colonial libraries a the of after".split()
-    titles = [" ".join(rng.sample(words, rng.randint(3, 13))) for _ in range(60)] + ["volunteering inheritance and the wartime question"]
+    titles = [" ".join(rng.sample(words, rng.randint(3, 13))) for _ in range(60)] + ["volunteering inheritance and the wartime question", "灯台の歴史と地方の暮らし", "kölcsön"]
 
     def slip(t, k):
         for _ in range(k):
@@ -186,17 +203,32 @@ def test_lookup_finds_what_comparing_all_titles_finds(spark):
         return " ".join(t.split())
 
     recs = [(100 + i, 1 + i % 2, t) for i, t in enumerate(titles)]
-    refs = [(i, slip(t, i % 9)) for i, t in enumerate(titles)] + [(90, "vounteering inheritance and the wartime uestion"), (91, "the volunteernig inheritnace and wartime question")]
-    want = set()
-    for i, t in refs:
-        for tier in (1, 2):
-            s, n = max((SequenceMatcher(None, t, u).ratio(), -n) for n, k, u in recs if k == tier)
-            if s >= 0.7:
-                want.add((i, tier, -n, round(s, 9)))
+    refs = [(i, slip(t, i % 5)) for i, t in enumerate(titles)] + [(90, "vounteering inheritance and the wartime uestion"), (91, "the volunteernig inheritnace and wartime question")]
+    refs += [(92, "灯台の歴史と地力の暮らし"), (93, "kölcsön"), (94, None), (95, "")]
     a = spark.createDataFrame([(*x, None) for x in refs], "ref_id long, title string, doi string")
     b = spark.createDataFrame([(*x, None) for x in recs], "record_id long, tier int, title string, doi string")
-    assert {(r.ref_id, r.tier, r.record_id, round(r.similarity, 9)) for r in matching.lookup(a, b).collect()} == want
-    assert {(90, 160), (91, 160)} <= {(x[0], x[2]) for x in want}
+    got = {(r.ref_id, r.tier): (r.similarity, r.record_id) for r in matching.lookup(a, b).collect()}
+    want = _all_pairs(refs, recs, 0.85)
+    assert {k: got.get(k) for k in want} == want and len(want) > 40
+    assert {got[k][1] for k in ((90, 1), (91, 1))} == {160} and (92, 2) in got and (93, 1) in got
+    assert all(s >= 0.7 for s, _ in got.values())
+    assert matching.lookup(a.where("false"), b).count() == 0 and matching.lookup(a, b.where("false")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_lookup_loses_no_verified_title_of_the_tables(spark):
+    """On all of sf0.001 every best title of a ratio of 0.85 or more is found, as by comparing all pairs."""
+    from pyspark.sql import functions as F
+
+    from foliolens.functions.text import loose
+    from foliolens.plans import views
+
+    refs, recs = views.references(spark, DATA).withColumn("doi", F.lit(None).cast("string")), views.records(spark, DATA)
+    r = refs.select("ref_id", loose(F.coalesce("title", F.lit(""))).alias("t")).collect()
+    c = recs.select("record_id", "tier", loose(F.coalesce("title", F.lit(""))).alias("u")).collect()
+    want = _all_pairs([tuple(x) for x in r], [tuple(x) for x in c], 0.85)
+    got = {(x.ref_id, x.tier): (x.similarity, x.record_id) for x in matching.lookup(refs, recs).collect()}
+    assert {k: got.get(k) for k in want} == want and len(want) > 300
 
 
 def test_captions_tables_and_native(spark):
@@ -240,11 +272,14 @@ def test_fuzzy_containment():
 
 
 def test_spans(spark):
-    rows = [(1, 1, "Title", 14.0, 0), (1, 2, "body", 10.0, 0), (1, 3, "1 Bold head", 10.0, 16), (1, 4, "1 Bold head", 10.0, 16), (1, 5, "more", 10.0, 0), (1, 6, "1 note", 8.0, 0), (1, 7, "goes on", 8.0, 0), (1, 8, "2 note", 8.0, 0)]
+    rows = [(1, 1, "Title", 14.0, 0), (1, 2, "body", 10.0, 0), (1, 3, "1 Bold head", 10.0, 16), (1, 4, "1 Bold head", 10.0, 16), (1, 5, "more", 10.0, 0), (1, 6, "1 note", 8.0, 0), (1, 7, "goes on", 8.0, 0), (1, 8, "2 note", 8.5, 0), (1, 9, "§ none", 8.0, 0), (1, 10, "3", 8.0, 0), (1, 11, "4 tiny", 4.0, 0), (1, 12, "5 big", 8.6, 0)]
+    rows += [(2, 1, "body of six", 6.0, 0), (2, 2, "1 note", 4.5, 0)]
     s = spark.createDataFrame(rows, "doc_id long, ord int, text string, size double, flags int")
-    assert fidelity.body_size(s).first()["size"] == 10.0
+    assert {r.doc_id: r["size"] for r in fidelity.body_size(s).collect()}[1] == 10.0
     assert [r.text for r in fidelity.span_headings(s).orderBy("ord").collect()] == ["Title", "1 Bold head"]
-    assert fidelity.span_footnotes(s).first().footnotes == 2
+    assert {r.doc_id: r.footnotes for r in fidelity.span_footnotes(s).collect()} == {1: 2, 2: 0}
+    notes = docs(spark, "1 Note\n2 note\n† mark\n* more\n‡", "1 Note\n 22 Note\n* one", "none", "")
+    assert {r.doc_id: r.footnotes for r in fidelity.text_footnotes(notes).collect()} == {1: 2, 2: 2, 3: 0}
 
 
 def test_scores_and_best_mode(spark):
