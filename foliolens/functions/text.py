@@ -16,7 +16,7 @@ TRIMMED = r"^[ \t\r\n]+|[ \t\r\n]+$"
 
 _FOLD = {
     chr(c): unicodedata.normalize("NFD", chr(c))[0]
-    for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    for c in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000))
     if len(unicodedata.normalize("NFD", chr(c))) > 1
 }
 FOLD_FROM, FOLD_TO = "".join(_FOLD), "".join(_FOLD.values())
@@ -66,3 +66,18 @@ def contains_any(col: Column, tokens: list[str]) -> Column:
     for t in tokens:
         out = out | col.contains(t)
     return out
+
+
+def safe_float(col: Column) -> Column:
+    """A number, or null where there is none."""
+    return F.trim(col.cast("string")).try_cast("double")
+
+
+def percent(share: Column, digits: int = 0) -> Column:
+    """A share as a percentage, n/a for null."""
+    return F.when(share.isNull(), "n/a").otherwise(F.format_string(f"%.{digits}f%%", share.cast("double") * 100))
+
+
+def day(moment: Column) -> Column:
+    """The day of a time, as 2024-05-31."""
+    return F.date_format(moment, "yyyy-MM-dd")

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from foliolens.functions.text import heading_label, trimmed
 from foliolens.operators.structure import lines
 
-# Labels of reference sections, and institutions that begin entries.
+# Labels of reference sections, institutions that begin entries, and the patterns of sections, entries and fields.
 LABELS = ["references", "bibliography", "works cited", "literature cited", "cited references", "reference list"]
 INSTITUTION = r"^(OECD(/European Commission)?|World Health Organization|World Bank|Eurostat|European Institute for Gender Equality)\s*\("
-NEXT_SECTION = r"(?i)^#{1,3}\s+\S|^\*{1,2}[A-Z][A-Za-z ]+\*{1,2}\s*$|^(Appendix|Supplementary)\b.*$|^(Acknowledge?ments?)\s*$"
+NEXT_SECTION = r"(?i)^#{1,3}\s+\S|^\*{1,2}[A-Z][A-Za-z ]+\*{1,2}\s*$|^(Appendix|Supplementary)\b.*$|^(Acknowledg(?:e)?ments?)\s*$"
 CONTINUATION = r"(?i)^#{1,6}\s*\d+(\.\d+)?\.?\s*(\[[^\]]+\]\([^)]+\)|https?://\S+)?\s*$"
 NUMBERED = r"^\s*(\[\d+\]|\d+\.\s|\(\d+\))\s*"
-AUTHOR_START = r"^\p{L}[\p{L}'’.-]+(\s+\p{L}[\p{L}'’.-]+){0,3},"
+AUTHOR_START = r"^\p{L}[\p{L}\p{M}]+(\s+\p{L}[\p{L}\p{M}]+){0,3},"
 NAME_YEAR = r"^\p{L}[^!?]{0,100}\((19|20)\d{2}[a-z]?\)"
 EARLY_YEAR = r"\b(19|20)\d{2}[a-z]?\b"
-INLINE = r"\.\s+([A-ZÀ-ÖØ-ÝŐŰ][A-Za-zÀ-ÖØ-öø-ÿŐőŰű'’-]+,\s+[A-ZÀ-ÖØ-ÝŐŰ])"
+INLINE = r"\.\s+([A-ZÀ-ÖØ-ÝŐŰ][A-Za-zÀ-ÖØ-öø-ÿŐőŰű'’-]+,\s+[A-ZÀ-ÖØ-ÝŐŰ]|OECD(?:/European Commission)?\s*\(|World Health Organization\s*\(|World Bank\s*\(|Eurostat\s*\(|European Institute for Gender Equality\s*\()"
 YEAR = r"\b((?:19|20)\d{2})\b"
 DOI = r"(?i)(?:doi[:\s]*|https?://(?:dx\.)?doi\.org/)(10\.\d{4,}/[^\s\])}>\"',;]+(?:\s+[^\s\])}>\"',;]+)*)"
 SHORTEST = 15
@@ -117,6 +117,20 @@ def fields(entries_: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def repaired_doi(col):
+    """A text whose dois have no blanks, neither behind their prefix nor inside."""
+    joined = F.regexp_replace(F.regexp_replace(col, r"(?i)(https?://(?:dx\.)?doi\.org/)\s+", "$1"), r"(?i)\bdoi:\s+", "doi:")
+    broken = F.regexp_extract_all(joined, F.lit(r"10\.\d{4,}/[A-Za-z0-9._;()/:-]+(?:\s+[A-Za-z0-9._;()/:-]+)+"), F.lit(0))
+    return F.aggregate(broken, joined, lambda text, doi: F.replace(text, doi, F.regexp_replace(doi, r"\s+", "")))
+
+
+def extract(docs: DataFrame) -> DataFrame:
+    """(doc_id, entry_no, authors, title, year, doi, journal, raw_text): the references of whole texts, from the section to the fields."""
+    inside = lines(docs).join(section(docs), "doc_id").where(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
+    found = entries(inside.select("doc_id", "line_no", "text")).withColumn("id", F.concat_ws("/", "doc_id", "entry_no"))
+    return found.join(fields(found, "id", "entry"), "id").select("doc_id", "entry_no", "authors", "title", "year", "doi", "journal", F.col("entry").alias("raw_text"))
+
+
 def choose(main: DataFrame, fallback: DataFrame) -> DataFrame:
     """The entries of `main`, or those of `fallback` for a document where main has fewer than 3 and fallback more."""
     a = main.groupBy("doc_id").agg(F.count("*").alias("n_main"))

@@ -71,6 +71,47 @@ SPARSE = ("C08", "Major", 94, r"<br>\s*[0-2](?:\D|$)")
 NEAR = ("C09", "Minor", 78, r"To interpret international differences", r"Regional specificities also include", 25)
 
 
+#: What a rule says when it holds, and what to do about it.
+TEXTS = {
+    "C01": ("Cross-country claims contradict the stated scope", "Limit the claims to the stated scope, or widen the scope"),
+    "C02": ("The paradox is named but growth is said not to explain it", "State what the paradox rests on"),
+    "C03": ("A rejected hypothesis is described as aligned with the data", "Say which of the two holds"),
+    "C04": ("Parity is claimed to be near without a source", "Give the figures of both countries"),
+    "C05": ("Professions are equated with their financing", "Separate sector and financing"),
+    "C06": ("The lowest coefficients are called strong in brackets", "Give the coefficients"),
+    "C07": ("A sign is called uniform although cells are empty", "Name the empty cells"),
+    "C08": ("Cells hold broken counts", "Check the table's cells"),
+    "C09": ("An explanation is given twice within a few lines", "Join the two passages"),
+    "C10": ("A market is called balanced and lower at once", "Name the measure of balance"),
+    "C11": ("Isolated years carry a general claim", "List the years"),
+    "C12": ("The search string has unbalanced brackets", "Correct the search string"),
+    "C13": ("An estimator is classed inconsistently", "Use one name for the estimator"),
+    "C14": ("Stages are listed and then told otherwise", "Use the stages as listed"),
+    "C15": ("One source stands for two stages", "Give each stage its source"),
+    "C16": ("A term reverses what is meant", "Write free data flow"),
+    "C17": ("It is open which two countries are meant", "Name the countries"),
+    "C18": ("A term of statistics is used loosely", "Name the distribution"),
+    "C19": ("A coined term is not explained", "Write interaction terms"),
+    "C20": ("A forecast lies before its source", "Check the years"),
+    "C21": ("It is open which mechanisms are meant", "Name the mechanisms"),
+    "C22": ("Patients are mentioned in a study without any", "Name what was screened"),
+    "C23": ("A regulatory role is claimed without a test", "Write moderating role, and test it"),
+    "C24": ("One hand has no other hand", "Give the second side, or drop the phrase"),
+    "C25": ("A phrase repeats itself", "Drop the repetition"),
+    "C26": ("A reference value is claimed for an agreement", "Say what it shows"),
+    "C27": ("A sentence is cut where it should go on", "Join the two sentences"),
+    "C28": ("Effects are claimed in a review without appraisal of its studies", "Appraise the risk of bias, or soften the claims"),
+    "C29": ("Works other than articles are cited although excluded", "Change the criterion, or the list"),
+    "C30": ("A single search carries global claims", "Search further databases, or limit the claims"),
+    "C31": ("A construct of the questions is not defined", "Define it at first use"),
+    "C32": ("A picture of a network carries claims of structure", "Give network measures"),
+    "C33": ("Coding by one person has no protocol", "Describe the protocol and its checks"),
+    "C34": ("Search fields are given in several notations", "State the fields searched in each database"),
+    "C35": ("A gap is said to be both narrowed and a constraint", "State the direction"),
+    "C36": ("Stagnation and transition follow each other without dates", "Give the dates"),
+}
+
+
 def lowered(pattern: str) -> str:
     """pattern in lower case, escapes aside; matching lower case text needs no flags then and is far faster."""
     return re.sub(r"\\.|[^\\]+", lambda m: m.group() if m.group()[0] == "\\" else m.group().lower(), pattern)
@@ -162,6 +203,23 @@ def findings(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     return by_line.select(cols).unionByName(sparse.select(cols)).unionByName(near.select(cols))
 
 
+def detailed(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """found with finding_text, evidence, location and correction: the rule's texts, the line as it stands, and its number.
+
+    A finding without a line has null evidence and location; rules of your own have no texts.
+    """
+    texts = F.create_map(*(F.lit(x) for k, (a, b) in TEXTS.items() for x in (f"{k}t", a))), F.create_map(*(F.lit(x) for k, (a, b) in TEXTS.items() for x in (f"{k}c", b)))
+    said = lines(docs).select("doc_id", F.col("line_no").alias("line"), F.trim("text").alias("evidence"))
+    j = found.join(said, ["doc_id", "line"], "left")
+    return j.select(
+        *found.columns,
+        F.try_element_at(texts[0], F.concat("rule_id", F.lit("t"))).alias("finding_text"),
+        "evidence",
+        F.concat(F.lit("line "), F.col("line").cast("string")).alias("location"),
+        F.try_element_at(texts[1], F.concat("rule_id", F.lit("c"))).alias("correction"),
+    )
+
+
 def report(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, status, finding_count, major, rules): WARN where a document has findings, else PASS."""
     per = found.groupBy("doc_id").agg(

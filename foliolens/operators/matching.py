@@ -29,6 +29,27 @@ def doi_matches(refs: DataFrame, records: DataFrame) -> DataFrame:
     return a.join(b, "d").select("ref_id", "record_id")
 
 
+def year_of(col):
+    """The year of a value: the first of 1800 to 2099 that stands as a number of its own, else null."""
+    return F.nullif(F.regexp_extract(col.cast("string"), r"(?<![\p{L}\p{N}_])((?:18|19|20)\d{2})(?![\p{L}\p{N}_])", 1), F.lit(""))
+
+
+def first_year(issued, printed, online, created):
+    """A record's year: that of its issue, else of print, of online publication, of creation."""
+    return F.coalesce(*(year_of(c) for c in (issued, printed, online, created)))
+
+
+def bare_doi(col):
+    """A doi without the resolver's address."""
+    return F.regexp_replace(F.trim(col), r"(?i)^https?://(?:dx\.)?doi\.org/", "")
+
+
+def query_text(title, authors, tier: int):
+    """What a catalog is asked for: the title, in the first tier with the first two of an array of authors."""
+    words = F.trim(F.coalesce(title, F.lit("")))
+    return F.trim(F.concat_ws(" ", words, F.array_join(F.slice(F.coalesce(authors, F.array().cast("array<string>")), 1, 2), " "))) if tier == 1 else words
+
+
 def similarity(a, b):
     """Ratcliff-Obershelp ratio of two columns of loose titles, the first one leading; an Arrow UDF."""
 

@@ -7,7 +7,10 @@ from __future__ import annotations
 
 from foliolens.functions import text as t
 from foliolens.operators import bibliography as b
+from foliolens.operators import cleanup as c
 from foliolens.operators import lint, structure
+from foliolens.operators import manuscript as m
+from foliolens.operators import workspace as w
 from foliolens.plans.views import SEEDS
 
 
@@ -249,6 +252,9 @@ def oracle_sql() -> dict[str, str]:
     captions = f"""SELECT doc_id, p AS pos, caption FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {norm("caption")} ORDER BY p) AS r FROM (
   SELECT doc_id, generate_subscripts(a, 1) AS p, {trim("unnest(a)")} AS caption FROM (SELECT doc_id, list_concat(list_concat(regexp_extract_all(md, '!\\[([^\\]]+)\\]', 1),
    regexp_extract_all(md, '(?i)\\*\\*(?:Figure|Fig\\.?)\\s*\\d+[.:]\\*\\*[ \\t]*([^\\n]+)', 1)), regexp_extract_all(md, '(?im)^[ \\t]*(?:Figure|Fig\\.?)\\s*\\d+[.:][ \\t]*([^\\n]+)', 1)) AS a FROM docs)) WHERE caption <> '') WHERE r = 1"""
+    one = "regexp_extract(authors, '^\\[?\\s*\"?([^\";\\]]*)', 1)"
+    surname = f"strip_accents(lower(trim(CASE WHEN contains({one}, ',') THEN split_part({one}, ',', 1) ELSE regexp_extract(trim({one}), '([^ ]+)$', 1) END)))"
+    paged = "SELECT doc_id, md || '  ' || repeat(chr(10), 6) || '--- end of page=7 ---' || chr(10) || chr(10) || '  --- end of page=8 ---  ' || repeat(chr(10), 4) || 'last line ' || chr(9) || chr(10) || chr(10) AS md FROM docs"
     valid = "regexp_matches(coalesce(trim(doi), ''), '^10\\.\\d{4,9}/\\S+$')"
     slug = "coalesce(nullif(replace(trim(regexp_replace(lower(slug), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), ''), 'paper')"
     pieces = """SELECT doc_id, chunk_id, piece, (SELECT min(y.line_no) FROM x y WHERE y.doc_id = o.doc_id AND y.chunk_id = o.chunk_id AND y.line_no <= o.first_line AND y.before + y.words > o.from_word - 30) AS start_line, end_line FROM o"""
@@ -294,6 +300,28 @@ def oracle_sql() -> dict[str, str]:
         "language_detect": sql("SELECT doc_id, CASE WHEN (contains(lower(md), 'javaslat')::INT + contains(lower(md), 'módszertan')::INT + contains(lower(md), 'hivatkozás')::INT + contains(lower(md), 'összefoglalás')::INT + contains(lower(md), 'értékelés')::INT + contains(lower(md), 'irodalomjegyzék')::INT + contains(lower(md), 'bírálói vélemény')::INT + contains(lower(md), 'főbb észrevételek')::INT + contains(lower(md), 'kisebb észrevételek')::INT) >= 2 THEN 'hu' ELSE 'en' END AS language FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md || ' Módszertan és Javaslat' ELSE md END AS md FROM docs)"),
         "title_extract": sql("SELECT doc_id, coalesce(nullif(trim(regexp_extract(md, '(?m)^#[ \\t]+([^\\n]+)$', 1)), ''), 'Untitled') AS title FROM docs"),
         "quote_exists": sql("SELECT doc_id, count(*) AS quotes, count(*) FILTER (WHERE contains(md, quote)) AS present FROM (SELECT doc_id, md, sentence || CASE WHEN pos % 4 = 0 THEN ' x' ELSE '' END AS quote FROM docs JOIN (SELECT * FROM (" + _sentences("docs", "md") + ")) USING (doc_id)) GROUP BY doc_id"),
-        "citation_completeness": sql("SELECT coalesce(c.paper_id, r.paper_id) AS paper_id, coalesce(c.year, r.year) AS year, c.year IS NOT NULL AS cited, r.year IS NOT NULL AS listed FROM (SELECT DISTINCT doc_id AS paper_id, unnest(regexp_extract_all(md, '\\p{Lu}[\\p{L}-]+ ((?:19|20)\\d{2})\\b', 1)) AS year FROM docs) c FULL JOIN (SELECT DISTINCT paper_id, year FROM refs WHERE regexp_matches(year, '^(19|20)\\d{2}$')) r ON c.paper_id = r.paper_id AND c.year = r.year"),
+        "citation_completeness": sql(f"""SELECT coalesce(c.paper_id, r.paper_id) AS paper_id, coalesce(c.surname, r.surname) AS surname, coalesce(c.year, r.year) AS year, c.year IS NOT NULL AS cited, r.year IS NOT NULL AS listed
+ FROM (SELECT DISTINCT paper_id, strip_accents(lower(s)) AS surname, y AS year FROM (SELECT doc_id AS paper_id, unnest(regexp_extract_all(md, {q(m.CITED)}, 1)) AS s, unnest(regexp_extract_all(md, {q(m.CITED)}, 2)) AS y FROM docs)) c
+ FULL JOIN (SELECT DISTINCT paper_id, surname, year FROM (SELECT paper_id, {surname} AS surname, regexp_extract(year, '((?:18|19|20)\\d{{2}})', 1) AS year FROM refs) WHERE surname <> '' AND year <> '') r
+ ON c.paper_id = r.paper_id AND c.surname = r.surname AND c.year = r.year"""),
+        "self_citations": sql(f"""SELECT paper_id, refs, own_refs, own_refs / refs AS share FROM (SELECT r.paper_id, count(*) AS refs, count(o.surname) AS own_refs FROM (SELECT DISTINCT paper_id, ref_id, {surname} AS surname FROM refs) r
+ LEFT JOIN (SELECT paper_id, {surname} AS surname FROM (SELECT paper_id, arg_min_null(authors, ref_index) AS authors FROM refs GROUP BY paper_id)) o ON r.paper_id = o.paper_id AND r.surname = o.surname AND o.surname <> '' GROUP BY r.paper_id)"""),
+        "acronym_inventory": sql(f"""SELECT doc_id, acronym, min(line_no) AS first_line, min(line_no) FILTER (WHERE w LIKE '(%)') AS defined_line, count(*) AS uses FROM (
+ SELECT doc_id, line_no, w, regexp_replace(w, '[()]', '', 'g') AS acronym FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(text, '\\(?[\\p{{L}}\\p{{N}}_]+\\)?')) AS w FROM lines)) WHERE regexp_matches(acronym, {q(m.ACRONYM)}) GROUP BY doc_id, acronym"""),
+        "number_check": sql(f"""SELECT doc_id, number, line_no, in_table FROM (SELECT doc_id, number, min(line_no) FILTER (WHERE NOT r) AS line_no, bool_or(r) AS in_table FROM (
+ SELECT doc_id, line_no, regexp_matches({trim("text")}, '^\\|.*\\|$') AS r, unnest(regexp_extract_all(text, {q(m.NUMBER)})) AS number FROM lines) GROUP BY doc_id, number) WHERE line_no IS NOT NULL"""),
+        "document_type": sql(f"SELECT doc_id, words, CASE WHEN words > 60000 THEN 'dissertation' ELSE 'article' END AS kind, words > 60000 AS by_chapter FROM (SELECT doc_id, {count('md', t.WORDS_LETTER)} AS words FROM docs)"),
+        "reference_batches": sql("SELECT paper_id, ref_id, n // 20 + 1 AS batch_no, n % 20 + 1 AS pos FROM (SELECT paper_id, ref_id, row_number() OVER (PARTITION BY paper_id ORDER BY ref_index, ref_id) - 1 AS n FROM refs)"),
+        "finding_gaps": sql(f"""SELECT f.doc_id, f.rule_id, trim(l.text) AS evidence, 'line ' || f.line AS location, concat_ws(',', CASE WHEN coalesce(trim(l.text), '') = '' THEN 'evidence' END, CASE WHEN f.line IS NULL THEN 'location' END) AS missing,
+ coalesce(trim(l.text), '') <> '' AND f.line IS NOT NULL AS complete FROM lint0 f LEFT JOIN ({lines_of("seed0")}) l ON f.doc_id = l.doc_id AND f.line = l.line_no"""),
+        "clean_text": sql(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, {q(c.SEPARATOR)}, '', 'g'), '\\n{{4,}}', repeat(chr(10), 3), 'g'), {q(c.TRAILING)}, '', 'g'), '\\n\\z', '') || chr(10) AS md FROM ({paged})"),
+        "document_stats": sql(f"SELECT doc_id, {count('md', c.SEPARATOR)} AS pages, {count('md', t.WORDS_BLANK)} AS words, {count('md', c.HEADING)} AS sections, {count('md', c.TABLE_RULE)} AS tables FROM ({paged})"),
+        "year_values": sql("SELECT ref_id, nullif(regexp_extract(year, '(?:^|[^\\p{L}\\p{N}_])((?:18|19|20)\\d{2})(?:$|[^\\p{L}\\p{N}_])', 1), '') AS year, regexp_replace(trim(doi), '(?i)^https?://(?:dx\\.)?doi\\.org/', '') AS doi FROM refs"),
+        "native_markdown": sql("SELECT doc_id, string_agg('## Page ' || page_no || chr(10) || chr(10) || trim(coalesce(text, '')) || chr(10), chr(10) ORDER BY page_no) AS md FROM pages GROUP BY doc_id"),
+        "manifest": sql(f"""SELECT p.doc_id, '{{"paper":{{"slug":"' || p.slug || '"}},"chunking":{{"total_chunks":' || coalesce(c.n, 0) || '}},"references":{{"count":' || coalesce(r.refs, 0) || '}},"lint":{{"status":"'
+ || CASE WHEN s.doc_id IS NULL THEN 'UNKNOWN' WHEN f.n > 0 THEN 'WARN' ELSE 'PASS' END || '","finding_count":' || coalesce(f.n, 0) || '}}}}' AS manifest FROM (SELECT DISTINCT paper_id AS doc_id, {slug} AS slug FROM papers) p
+ LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c USING (doc_id) LEFT JOIN ref_counts r USING (doc_id) LEFT JOIN seed0 s USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM lint0 GROUP BY doc_id) f USING (doc_id)"""),
+        "stubs": sql(f"SELECT doc_id, dimension, '# ' || dimension || ' findings' || chr(10) || chr(10) || '_Nothing found yet._' || chr(10) AS body FROM docs CROSS JOIN (SELECT unnest([{', '.join(map(q, w.DIMENSIONS))}]) AS dimension)"),
+        "text_footnotes": sql(f"SELECT doc_id, greatest({count('md', '(?:^|\\n)\\s*\\d{{1,3}}\\s+[A-Z]')}, {count('md', '(?:^|\\n)\\s*[*†‡§]\\s+\\S')}) AS footnotes FROM docs".replace("{{", "{").replace("}}", "}")),
         "symbol_inventory": sql("SELECT doc_id, symbol, min(line_no) AS first_line, count(*) AS uses FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(text, '\\\\[a-z]+')) AS symbol FROM lines) GROUP BY doc_id, symbol"),
     }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliolens.functions import text as t
-from foliolens.operators import bibliography, compare, fidelity, lint, matching, render, structure
+from foliolens.operators import bibliography, cleanup, compare, fidelity, lint, manuscript, matching, render, structure, workspace
 from foliolens.plans import oracle, views
 from foliolens.session import table
 
@@ -66,10 +66,22 @@ def _quotes(s, d):
     return q.join(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("quotes"), F.count_if(F.col("md").contains(F.col("quote"))).alias("present"))
 
 
-def _citations(s, d):
-    cited = views.docs(s, d).select(F.col("doc_id").alias("paper_id"), F.explode(F.regexp_extract_all("md", F.lit(r"\p{Lu}[\p{L}-]+ ((?:19|20)\d{2})\b"), F.lit(1))).alias("year")).distinct().withColumn("cited", F.lit(True))
-    listed = views.references(s, d).where(F.col("year").rlike(r"^(19|20)\d{2}$")).select("paper_id", "year").distinct().withColumn("listed", F.lit(True))
-    return cited.join(listed, ["paper_id", "year"], "full").select("paper_id", "year", F.coalesce("cited", F.lit(False)).alias("cited"), F.coalesce("listed", F.lit(False)).alias("listed"))
+def _own(s, d):
+    """A paper's own authors, for want of a column: those of its first reference."""
+    refs = views.references(s, d)
+    return refs.groupBy("paper_id").agg(F.min_by("authors", "ref_index").alias("authors"))
+
+
+def _gaps(s, d):
+    seeded = views.seeded(s, d)
+    found = manuscript.finding_gaps(lint.detailed(seeded, lint.findings(seeded)))
+    return found.select("doc_id", "rule_id", "evidence", "location", "missing", "complete")
+
+
+def _template(s, d):
+    docs = views.docs(s, d)
+    papers = render.title(docs).join(fidelity.native_report(views.pages(s, d)).select("doc_id", "status"), "doc_id", "left")
+    return workspace.review_template(papers.withColumn("day", F.lit("2024-05-31")))
 
 
 def _symbols(s, d):
@@ -149,7 +161,22 @@ _QUERIES = {
     "title_extract": lambda s, d: render.title(views.docs(s, d)),
     "sanitize_html": _html,
     "quote_exists": _quotes,
-    "citation_completeness": _citations,
+    "citation_completeness": lambda s, d: manuscript.citation_completeness(views.docs(s, d), views.references(s, d)),
+    "self_citations": lambda s, d: manuscript.self_citations(views.references(s, d), _own(s, d)),
+    "acronym_inventory": lambda s, d: manuscript.acronyms(views.docs(s, d)),
+    "number_check": lambda s, d: manuscript.number_check(views.docs(s, d)),
+    "document_type": lambda s, d: manuscript.document_type(views.docs(s, d)),
+    "reference_batches": lambda s, d: manuscript.reference_batches(views.references(s, d)),
+    "finding_gaps": _gaps,
+    "clean_text": lambda s, d: cleanup.cleaned(views.paged(s, d)),
+    "document_stats": lambda s, d: cleanup.stats(views.paged(s, d)),
+    "year_values": lambda s, d: views.references(s, d).select("ref_id", matching.year_of(F.col("year")).alias("year"), matching.bare_doi(F.col("doi")).alias("doi")),
+    "reference_extract": lambda s, d: bibliography.extract(views.docs(s, d)),
+    "native_markdown": lambda s, d: workspace.native_markdown(views.pages(s, d)),
+    "stubs": lambda s, d: workspace.stubs(views.docs(s, d)),
+    "review_template": _template,
+    "text_footnotes": lambda s, d: fidelity.text_footnotes(views.docs(s, d)),
+    "reference_counts": lambda s, d: fidelity.source_references(views.docs(s, d)).withColumnRenamed("refs", "in_source").join(fidelity.references(views.docs(s, d)).withColumnRenamed("refs", "in_md"), "doc_id", "left"),
     "symbol_inventory": _symbols,
     "manifest": _manifest,
 }

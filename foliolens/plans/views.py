@@ -28,6 +28,13 @@ SEEDS = [
     "To interpret international differences we look on.\nOne more line.\nRegional specificities also include wages.",
     "| a<br>2 | b |\nIn the early days nothing was said.",
     "Nothing of note stands here.",
+    "These are public-sector professions, predominantly publicly financed health systems. The distribution of regular income differs.",
+    "Two of them (Hungary and Poland show the lowest, but still strong coefficients) stand out in gender-balanced labour markets with lower - but more rapidly increasing shares.",
+    "The third category is Poisson Pseudo Maximum Likelihood. Centralization is high (Elsig & Klotz, 2022). These mechanisms work.",
+    "The Report 2025 indicates that trade is expected to increase by a third to reach a peak in 2024.",
+    "Here financial development may play a regulatory role in the division of the GVC division of labor.",
+    "It provides a reference for the new Digital Partnership Agreement and is no longer limited to goods. However, it has evolved.",
+    "It eases constraints by narrowing the gap in information and communication technology.",
 ]
 
 
@@ -56,6 +63,12 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", source.alias("source"), "md")
 
 
+def paged(spark: SparkSession, d: str) -> DataFrame:
+    """docs with the page separators, blank lines and trailing blanks that a converter leaves."""
+    tail = "  \n\n\n\n\n\n--- end of page=7 ---\n\n  --- end of page=8 ---  \n\n\n\nlast line \t\n\n"
+    return docs(spark, d).select("doc_id", F.concat("md", F.lit(tail)).alias("md"))
+
+
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, page_no, text): 40 lines a page; some pages are empty."""
     page = (F.floor((F.col("line_no") - 1) / 40) + 1).cast("int")

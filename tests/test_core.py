@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
 
-from foliolens.operators import bibliography, compare, fidelity, lint, matching, render, structure
+from foliolens.operators import bibliography, cleanup, compare, fidelity, lint, manuscript, matching, render, structure, workspace
+from foliolens.plans import review
 from foliolens.sources import files
 from foliolens.streaming.ingest import ingest_markdown
 
@@ -341,3 +342,102 @@ def test_length_bound_never_drops_a_match(t, la, lb):
     """The exact bound of the ratio: 2 min / (la + lb) >= t implies the lengths' window."""
     if la and lb and t > 0 and 2 * min(la, lb) / (la + lb) >= t:
         assert la * t / (2 - t) - 1e-9 <= lb <= la * (2 - t) / t + 1e-9
+
+
+def test_cleanup(spark):
+    d = docs(spark, "# A  \n\n\n\n\n--- end of page=1 ---\n| a |\n|---|\n| b |\n", "x", "", None)
+    assert {r.doc_id: r.md for r in cleanup.cleaned(d).collect()} == {1: "# A\n\n| a |\n|---|\n| b |\n", 2: "x\n"}
+    assert tuple(cleanup.stats(d).where("doc_id = 1").first())[1:] == (1, 16, 1, 1)
+
+
+def test_years_dois_and_queries(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([("(1998)", None, 2005, ["A", "B", "C"]), ("x1998", "1700", None, None), (None, "2001-05", 3000, [])], "a string, b string, c int, n array<string>")
+    got = [tuple(r) for r in d.select(matching.year_of(F.col("a")), matching.first_year(F.col("b"), F.col("c"), F.col("a"), F.col("a")), matching.query_text(F.lit(" T "), F.col("n"), 1), matching.query_text(F.lit("T"), F.col("n"), 2)).collect()]
+    assert got == [("1998", "2005", "T A B", "T"), (None, None, "T", "T"), (None, "2001", "T", "T")]
+    one = spark.range(1).select(matching.bare_doi(F.lit("https://doi.org/10.1/x")), bibliography.repaired_doi(F.lit("see doi: 10.1000/ab c-d, or https://doi.org/ 10.1000/q")))
+    assert tuple(one.first()) == ("10.1/x", "see doi:10.1000/abc-d, or https://doi.org/10.1000/q")
+
+
+def test_manuscript_checks(spark):
+    text = "As Smith (1999) and Kövér et al., 2001 say, OECD (GDP) is 0.25 or 3.5.\n\nThe GDP and OECD.\n| a | 0.25 |\n"
+    d = docs(spark, text, "", None)
+    refs = spark.createDataFrame([(1, 1, 1, '["Smith, A.","B"]', "1999"), (1, 2, 2, "Ann Novák; X", "2003a"), (1, 3, 3, None, "2000")], "paper_id long, ref_id long, ref_index int, authors string, year string")
+    got = {(r.surname, r.year): (r.cited, r.listed) for r in manuscript.citation_completeness(d, refs).collect()}
+    assert got == {("smith", "1999"): (True, True), ("kover", "2001"): (True, False), ("novak", "2003"): (False, True)}
+    own = spark.createDataFrame([(1, "Smith, Z.")], "paper_id long, authors string")
+    assert tuple(manuscript.self_citations(refs, own).first()) == (1, 3, 1, 1 / 3)
+    assert {tuple(r)[1:] for r in manuscript.acronyms(d).collect()} == {("OECD", 1, None, 2), ("GDP", 1, 1, 2)}
+    assert {tuple(r)[1:] for r in manuscript.number_check(d).collect()} == {("0.25", 1, True), ("3.5", 1, False)}
+    assert [tuple(r)[2:] for r in manuscript.reference_batches(refs, 2).orderBy("ref_id").collect()] == [(1, 1), (1, 2), (2, 1)]
+    assert [r.kind for r in manuscript.document_type(docs(spark, "w " * 60_001, "w " * 60_000)).orderBy("doc_id").collect()] == ["dissertation", "article"]
+
+
+def test_findings_have_texts(spark):
+    d = docs(spark, "x\nThe patients were screened.", "The patients\nwere screened.")
+    r = {x.doc_id: x for x in manuscript.finding_gaps(lint.detailed(d, lint.findings(d))).collect()}
+    assert r[1].complete and r[1].evidence == "The patients were screened." and r[1].location == "line 2"
+    assert r[2].missing == "evidence,location" and not r[2].complete
+    assert {r.rule_id for r in lint.RULES} | {lint.SPARSE[0], lint.NEAR[0]} == set(lint.TEXTS)
+
+
+def test_bibliography_from_the_text(spark):
+    text = "# T\n\nbody\n\n## References\n\nSmith, A. (1999). A long enough title of one. Journal. doi:10.1000/ab. World Bank (2001). Another long enough title of two. X.\n\n# Next\n\nJones, B. (2000). Not a reference at all here.\n"
+    got = [(r.entry_no, r.year, r.doi, r.title) for r in bibliography.extract(docs(spark, text, "none", "")).orderBy("entry_no").collect()]
+    assert got == [(1, "1999", "10.1000/ab", "A long enough title of one"), (2, "2001", "", "Another long enough title of two")]
+
+
+def test_layouts(spark, tmp_path):
+    span = {"text": "a", "size": 9.0, "flags": 16, "font": "f", "bbox": [0.0, 0.0, 1.0, 1.0]}
+    pages = [{"blocks": [{"type": 0, "lines": [{"spans": [span, {**span, "text": "b"}]}]}, {"type": 1, "lines": None}], "tables": ["t"]}, {"blocks": [{"type": 0, "lines": [{"spans": [{**span, "text": "c"}]}]}], "tables": None}]
+    (tmp_path / "l.json").write_text(json.dumps({"doc_id": 1, "pages": pages}) + "\n" + json.dumps({"doc_id": 2, "pages": []}))
+    d = files.read_layouts(spark, str(tmp_path))
+    assert [(r.ord, r.page, r.text) for r in files.spans(d).orderBy("ord").collect()] == [(1, 1, "a"), (2, 1, "b"), (3, 2, "c")]
+    assert {r.doc_id: r.tables for r in files.table_count(d).collect()} == {1: 1, 2: 0}
+
+
+def test_discovery_and_sinks(spark, tmp_path):
+    (tmp_path / "venv").mkdir()
+    for n in ("a.pdf", "b.pdf", "c.txt", "venv/d.pdf"):
+        (tmp_path / n).write_bytes(b"%PDF-1.4")
+    found = files.discover_pdfs(spark, str(tmp_path)).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.candidates) for r in found] == [("a.pdf", 2), ("b.pdf", 2)]
+    df = spark.createDataFrame([(1, "é")], "doc_id long, html string")
+    files.write_pretty_json(df, str(tmp_path / "j"))
+    body = spark.read.text(str(tmp_path / "j"), wholetext=True).first().value
+    assert json.loads(body) == {"doc_id": 1, "html": "é"} and body.startswith("{\n  ")
+    files.write_pages(df, str(tmp_path / "h"))
+    assert [tuple(r) for r in spark.read.text(str(tmp_path / "h")).collect()] == [("é", 1)]
+
+
+def test_reviews_are_prepared(spark, tmp_path):
+    text = "# A title\n\nThe patients were screened for many reasons in all of the years.\n\n## References\n\n[1] Smith, A. (1999). A long enough title. Journal of X.\n"
+    d = docs(spark, text, "# Other\n\nno list")
+    sources = d.withColumnRenamed("md", "source")
+    answers = spark.createDataFrame([(1, 1_000_001, True, "c1", 1, "A long enough title", None, 1.0, "1999")], "match_id long, ref_id long, found boolean, source string, tier int, title string, doi string, similarity double, year string")
+    out = review.prepare_reviews(d, sources, answers, "2024-05-31")
+    assert set(out) == set(workspace.ARTIFACTS)
+    assert out["verification/reference_report"].first().status == "verified"
+    assert out["agent_outputs"].count() == 18 and {r.status for r in out["verification/original_verification"].collect()} == {"PASS"}
+    assert "**Manuscript:** A title" in out["output/review_EN"].where("doc_id = 1").first().md
+    workspace.write_artifacts(out, str(tmp_path), "r1")
+    assert spark.read.parquet(str(tmp_path / "r1/NEXT_STEPS")).count() == 2
+    with pytest.raises(ValueError, match="no artifacts"):
+        workspace.write_artifacts({"x": d}, str(tmp_path), "r1")
+
+
+def test_functions_for_sql(spark):
+    from pyspark.sql import functions as F
+
+    from foliolens.functions.text import day, percent, safe_float
+
+    assert review.register(spark) == ["contains_roughly", "sanitized_html", "title_similarity"]
+    assert tuple(spark.sql("SELECT title_similarity('abcd', 'abcx'), sanitized_html('<script>a</script><b>b</b>'), contains_roughly('one two three four', 'two three', 0.9D)").first()) == (0.75, "ab", True)
+    one = spark.range(1).select(safe_float(F.lit(" 1.5 ")), safe_float(F.lit("x")), percent(F.lit(0.256)), percent(F.lit(None).cast("double")), day(F.to_timestamp(F.lit("2024-05-31 10:00:00"))))
+    assert tuple(one.first()) == (1.5, None, "26%", "n/a", "2024-05-31")
+
+
+def test_native_markdown(spark):
+    p = spark.createDataFrame([(1, 2, None), (1, 1, " a ")], "doc_id long, page_no int, text string")
+    assert workspace.native_markdown(p).first().md == "## Page 1\n\na\n\n## Page 2\n\n\n"
