@@ -347,7 +347,7 @@ def test_length_bound_never_drops_a_match(t, la, lb):
 def test_cleanup(spark):
     d = docs(spark, "# A  \n\n\n\n\n--- end of page=1 ---\n| a |\n|---|\n| b |\n", "x", "", None)
     assert {r.doc_id: r.md for r in cleanup.cleaned(d).collect()} == {1: "# A\n\n| a |\n|---|\n| b |\n", 2: "x\n"}
-    assert tuple(cleanup.stats(d).where("doc_id = 1").first())[1:] == (1, 16, 1, 1)
+    assert tuple(cleanup.stats(d).where("doc_id = 1").first())[1:] == (1, 14, 1, 1)
 
 
 def test_years_dois_and_queries(spark):
