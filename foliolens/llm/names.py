@@ -337,7 +337,7 @@ def common_tokens(names: DataFrame) -> set[str]:
         for b in batches:
             rows = set()
             for name in b["name"]:
-                ts = [t for t in tokens_of(name) if len(t) >= 3 and t not in SMALL][:8]
+                ts = [t for t in tokens_of(name) if len(t) >= 3 and t not in SMALL]
                 rows.update((x, y) for x in ts for y in ts if x != y)
             yield pd.DataFrame(list(rows), columns=["token", "other"])
 
@@ -370,9 +370,14 @@ def probes_of(token: str, bound: int = BOUND) -> list[str]:
     """The shards that may keep a token within `bound` edits of this one.
 
     A swap of neighbours may touch two segments; so one edit of any kind, and two
-    edits that are no swaps, leave one segment whole.
+    edits that are no swaps, leave one segment whole. For a swap beside another edit, the
+    token is looked up with each pair of neighbours put back, which leaves one edit.
     """
     n, out = len(token), set()
+    if bound > 1:
+        for i in range(n - 1):
+            if token[i] != token[i + 1]:
+                out.update(probes_of(token[:i] + token[i + 1] + token[i] + token[i + 2 :], 1))
     for m in range(max(1, n - bound), n + bound + 1):
         for k, (a, b) in enumerate(_segments(m)):
             for shift in range(-bound, bound + 1):
@@ -385,9 +390,8 @@ def probes_of(token: str, bound: int = BOUND) -> list[str]:
 def neighbours(tokens: DataFrame) -> DataFrame:
     """Rows (a, b, distance) of the distinct tokens b within the bound of the tokens a, a <> b.
 
-    tokens: token, bound. A swap of neighbours is one edit. All pairs within one edit, and
-    all within two of which none is a swap, are found; of those with a swap and another
-    edit the ones with a segment left whole.
+    tokens: token, bound. A swap of neighbours is one edit. All pairs within the bound are found.
+    Tokens of fewer than four letters have no neighbours: at one edit most of them are other names.
     """
     ship(tokens.sparkSession)
 
@@ -525,12 +529,22 @@ def linked_names(names: DataFrame) -> DataFrame:
         .groupBy("x_entity")
         .agg(F.max_by("y_entity", F.struct(-F.col("distance"), "y_forms", "y_n", "y_entity")).alias("up"))
     )
-    # a slip of a slip: follow the link once more
-    twice = up.join(up.select(F.col("x_entity").alias("up"), F.col("up").alias("top")), "up", "left").select("x_entity", F.coalesce("top", "up").alias("top"))
-    return (
-        grouped.join(twice, grouped.entity == twice.x_entity, "left")
-        .select("name", F.coalesce("top", "entity").alias("entity"))
-    )
+    tops = followed(written(up.select(F.col("x_entity").alias("entity"), F.col("up").alias("top"))))
+    return grouped.join(tops, "entity", "left").select("name", F.coalesce("top", "entity").alias("entity"))
+
+
+def followed(links: DataFrame) -> DataFrame:
+    """links (entity, top), each to a heavier entity, followed to the last one: slips of slips, chains of any length.
+
+    Every round doubles how far a link reaches and is written; the rounds end when no link changes.
+    """
+    while True:
+        on = links.select(F.col("entity").alias("top"), F.col("top").alias("further"))
+        longer = links.join(on, "top", "left").select("entity", F.coalesce("further", "top").alias("top"), F.col("further").isNotNull().alias("moved"))
+        longer = written(longer)
+        if longer.where("moved").isEmpty():
+            return links
+        links = longer.drop("moved")
 
 
 def p6_names(spark, sf_dir) -> DataFrame:

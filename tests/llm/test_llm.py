@@ -56,10 +56,17 @@ def test_shards_keep_every_pair_within_the_bound():
         assert set(names.probes_of(a, 1)) & set(names.keys_of(b)), (a, b)
         c = list(b)
         c[rng.randrange(len(c))] = "y"
-        if canonical._distance(a, "".join(c)) <= 2 and kind != 3:
+        if canonical._distance(a, "".join(c)) <= 2:
             assert set(names.probes_of(a, 2)) & set(names.keys_of("".join(c))), (a, b, c)
 
 
+def test_links_are_followed_to_the_end(spark):
+    links = spark.createDataFrame([(str(k), str(k + 1)) for k in range(1, 12)] + [("x", "5"), ("y", "z")], "entity string, top string")
+    got = {r.entity: r.top for r in names.followed(links).collect()}
+    assert got == {**{str(k): "12" for k in range(1, 12)}, "x": "12", "y": "z"}
+    assert names.followed(links.where("false")).count() == 0
+
+
 # 1 entities
 
 
