@@ -4,8 +4,11 @@ A text is normalised for compatibility (width, ligatures, composed accents),
 characters that show nothing are dropped, every kind of blank becomes a space.
 Each token then spans a lattice: at every position the characters that look like
 the one written there. Viterbi picks the reading with the best character bigram
-score, where a change of script inside a token costs extra. Two tokens that look
-the same span the same lattice, so they get the same reading.
+score, where a change of script inside a token costs extra. Letters that look the same in
+every typeface (of Latin, Greek and Cyrillic) are free to choose from; those that do so in
+many (I, l, 1 and O, 0) are read otherwise than they are written only where the letters
+beside them outweigh the cost. So the search decides whether `lnternational` is
+`International` while `Ill` and `lll` stay two.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ HYPHENS = "‐‑­"
 # Blanks that compatibility normalisation leaves alone.
 BLANKS = "\t\n\x0b\x0c\r\x85   "
 
+# Characters that many typefaces show alike.
+NEAR = ("Il1", "O0")
+CHANGE = -5.0  # log score of reading one of NEAR for another
 SWITCH = -6.0  # log score of changing the script inside a token
 EDGE = "\u0000"
 OTHER = "\u0001"
@@ -39,7 +45,9 @@ _AS_LATIN = dict(zip((GREEK + " " + CYRILLIC).split(), (GREEK_AS + " " + CYRILLI
 _READINGS: dict[str, list[str]] = {}
 for _c, _latin in _AS_LATIN.items():
     _READINGS.setdefault(_latin, [_latin]).append(_c)
-_LETTERS = {*_AS_LATIN, *(chr(c) for c in range(97, 123)), *(chr(c) for c in range(65, 91))}
+_LETTERS = {*_AS_LATIN, *(chr(c) for c in range(97, 123)), *(chr(c) for c in range(65, 91)), *"0123456789"}
+_NEAR = {c: [x for x in group if x != c] for group in NEAR for c in group}
+_ROUGH = str.maketrans({c: group[0] for group in NEAR for c in group})
 _SKELETON = str.maketrans(_AS_LATIN)
 _PLAIN = re.compile(r"[\x20-\x7e]*\Z")
 
@@ -73,6 +81,11 @@ def skeleton(text: str) -> str:
     return t if t.isascii() else unicodedata.normalize("NFC", t)
 
 
+def rough(text: str) -> str:
+    """The skeleton with the characters of NEAR made one: texts whose forms are equal have it in common."""
+    return skeleton(text).translate(_ROUGH)
+
+
 def _script(ch: str) -> str:
     o = ord(ch)
     return "greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "latin"
@@ -112,6 +125,8 @@ class LookalikeModel:
             new = {}
             for c in _READINGS.get(ch, [ch]):
                 new[c] = max((s + self._score(p, c), path + c) for p, (s, path) in best.items())
+            for c in _NEAR.get(ch, ()):
+                new[c] = max((s + self._score(p, c) + CHANGE, path + c) for p, (s, path) in best.items())
             best = new
         out = max((s + self._score(c, EDGE), path) for c, (s, path) in best.items())[1]
         if len(self.memo) >= 200_000:
@@ -136,7 +151,8 @@ def bigram_counts(texts: DataFrame, column: str) -> dict[tuple[str, str], int]:
             joined = " ".join(normalised(t) for t in batch["t"] if t)
             s = "".join(c if c in _LETTERS else EDGE if c == " " else OTHER for c in f" {joined} ")
             total.update(map(str.__add__, s, s[1:]))
-        yield pd.DataFrame({"g": [f"{ord(k[0])},{ord(k[1])}" for k in total], "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"g": [f"{ord(k[0])},{ord(k[1])}" for k in total], "n": list(total.values())})
 
     rows = (
         texts.select(F.col(column).alias("t"))
@@ -173,8 +189,8 @@ def same_looks(pairs: DataFrame, left: str, right: str, model: LookalikeModel) -
         out = []
         for x, y in zip(a, b, strict=True):
             x, y = normalised(x), normalised(y)
-            # equal skeletons are necessary for equal forms and cheap to compare
-            out.append(bool(x) and (x == y or (skeleton(x) == skeleton(y) and model.form(x) == model.form(y))))
+            # cheap to compare first; the search decides
+            out.append(bool(x) and (x == y or (rough(x) == rough(y) and model.form(x) == model.form(y))))
         return pd.Series(out, dtype="bool")
 
     l, r = F.col(left), F.col(right)
@@ -200,9 +216,12 @@ def p7_found(spark, sf_dir) -> DataFrame:
         matches.withColumnRenamed("title", "m_title")
         .join(refs, "ref_id")
         .where(F.col("m_title") != F.col("title"))
-        # cheap bound on the way: at least one side must hold something beyond plain ASCII
-        .where(F.col("m_title").rlike(r"[^\x20-\x7e]") | F.col("title").rlike(r"[^\x20-\x7e]"))
-    )
+        # cheap bounds on the way: one side holds something beyond plain ASCII, or they differ in blanks at the ends or in NEAR only
+        .where(
+            F.col("m_title").rlike(r"[^\x20-\x7e]") | F.col("title").rlike(r"[^\x20-\x7e]")
+            | (F.translate(F.trim("m_title"), "l10", "IIO") == F.translate(F.trim("title"), "l10", "IIO"))
+        )
+    )
     return same_looks(pairs, "m_title", "title", model).select("ref_id", "match_id").distinct()
 
 

@@ -2,9 +2,11 @@
 
 One regular expression with bounded quantifiers consumes the section: its
 alternatives, strongest boundary first, take as many words as the limit allows up
-to a paragraph's end, a sentence's end, a line's end, else up to any word, else a
-run of characters. Offsets into the array of words then look back for the overlap.
-Everything is a built-in expression on arrays; nothing leaves the JVM.
+to a paragraph's end, a sentence's end, a line's end, else up to any word. A word is
+consumed in runs of at most RUN characters, of scripts without blanks SHORT_RUN, so that
+a text without blanks is cut between characters in the end. Offsets into the array of
+runs then look back for the overlap. Everything is a built-in expression on arrays;
+nothing leaves the JVM.
 """
 
 from __future__ import annotations
@@ -16,18 +18,22 @@ from foliolens.session import table
 
 LIMIT, OVERLAP = 250, 30
 WORD = r"(?U)\S+"
+#: Most characters of a word that count as one, and of a word of a script without blanks.
+RUN, SHORT_RUN = 32, 4
+DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+UNIT = rf"(?:[{DENSE}]{{1,{SHORT_RUN}}}+|[^\s{DENSE}]{{1,{RUN}}}+)"
 
 
 def pattern(fresh: int) -> str:
-    """The pieces of at most `fresh` words; boundaries count in the second half of a piece only."""
-    lead = rf"(?:\S++\s++){{{fresh // 2},{fresh - 1}}}"
+    """The pieces of at most `fresh` runs; boundaries count in the second half of a piece only."""
+    lead = rf"(?:{UNIT}\s*+){{{fresh // 2},{fresh - 1}}}"
     return (
         r"(?U)"
-        rf"{lead}\S++(?=[^\S\n]*\n[^\S\n]*\n|\s*\z)"  # a paragraph's end
-        rf"|{lead}\S*[.!?…。！？؟।][\"'”’»)\]]*(?=\s)"  # a sentence's end
-        rf"|{lead}\S++(?=[^\S\n]*\n)"  # a line's end
-        rf"|(?:\S++\s++){{0,{fresh - 1}}}\S++"  # any word
-        r"|\S{1,4096}"  # any characters
+        rf"{lead}{UNIT}(?=[^\S\n]*\n[^\S\n]*\n|\s*\z)"  # a paragraph's end
+        rf"|{lead}{UNIT}(?<=[.!?…。！？؟।][\"'”’»)\]」』）]{{0,3}})(?=[\s{DENSE}])"  # a sentence's end
+        rf"|{lead}{UNIT}(?=[^\S\n]*\n)"  # a line's end
+        rf"|{lead}{UNIT}(?=\s)"  # a word's end
+        rf"|(?:{UNIT}\s*+){{0,{fresh - 1}}}{UNIT}"  # any run of characters
     )
 
 
@@ -60,7 +66,7 @@ def chunk_texts(chunks: DataFrame, texts: DataFrame) -> DataFrame:
                 F.transform(
                     "part",
                     lambda line, i: F.transform(
-                        F.regexp_extract_all(line, F.lit(WORD), F.lit(0)),
+                        F.regexp_extract_all(line, F.lit("(?U)" + UNIT), F.lit(0)),
                         lambda w: F.struct(w.alias("w"), (i + F.col("start_line")).alias("line")),
                     ),
                 )
@@ -71,14 +77,15 @@ def chunk_texts(chunks: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def pieces(sections: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """The pieces of the sections longer than limit words, in order.
+    """The pieces of the sections longer than limit words, or as many runs of characters, in order.
 
-    Rows (paper_id, chunk_id, piece, n_words, start_line, end_line, text): each piece has at
+    Rows (paper_id, chunk_id, piece, n_words, start_line, end_line, text, section_words): each piece has at
     most limit words, the first `overlap` of which, from the second piece on, are the last
-    of the piece before; text keeps the words with single blanks, line breaks go.
+    of the piece before; a word longer than RUN characters counts as several, as does one of a script without
+    blanks longer than SHORT_RUN. text keeps the words with single blanks, line breaks go.
     """
     cuts = F.regexp_extract_all("body", F.lit(pattern(limit - overlap)), F.lit(0))
-    sizes = F.transform(cuts, lambda p: F.size(F.regexp_extract_all(p, F.lit(WORD), F.lit(0))))
+    sizes = F.transform(cuts, lambda p: F.size(F.regexp_extract_all(p, F.lit("(?U)" + UNIT), F.lit(0))))
     ends = F.expr("transform(sizes, (x, i) -> aggregate(slice(sizes, 1, i + 1), 0, (a, b) -> a + b))")
     piece = F.expr(
         f"transform(ends, (e, i) -> named_struct('piece', i + 1, 'words', "
@@ -98,6 +105,7 @@ def pieces(sections: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> D
             F.element_at("p.words.line", 1).alias("start_line"),
             F.element_at("p.words.line", -1).alias("end_line"),
             F.array_join("p.words.w", " ").alias("text"),
+            F.size(F.regexp_extract_all("body", F.lit(WORD), F.lit(0))).alias("section_words"),
         )
     )
 
@@ -108,8 +116,8 @@ def p5_pieces(spark, sf_dir) -> DataFrame:
 
 
 def p5_found(spark, sf_dir) -> DataFrame:
-    """Rows (paper_id, chunk_id) of the chunks that the operator splits."""
-    return p5_pieces(spark, sf_dir).select("paper_id", "chunk_id").distinct()
+    """Rows (paper_id, chunk_id) of the chunks of more than 250 words that the operator splits."""
+    return p5_pieces(spark, sf_dir).where(F.col("section_words") > LIMIT).select("paper_id", "chunk_id").distinct()
 
 
 P5_FOUND_SQL = r"""

@@ -326,6 +326,45 @@ def test_pieces_are_bounded_and_overlap(spark):
     assert all(r.text.endswith(".") for r in got)
 
 
+@pytest.mark.parametrize(
+    ("text", "least"),
+    [("x" * 10_438, 2), ("灯台の歴史と地方の暮らし。" * 400, 5), ("灯" * 6005, 6), ("word " * 600, 3)],
+)
+def test_texts_without_boundaries_are_cut(spark, text, least):
+    """No piece holds more than 250 runs of characters, and without the overlap the pieces are the text."""
+    chunks = spark.createDataFrame([(1, "c1", 1)], "paper_id long, chunk_id string, start_line int")
+    texts = spark.createDataFrame([(1, text)], "paper_id long, extracted_text string")
+    got = splitting.pieces(splitting.chunk_texts(chunks, texts)).orderBy("piece").collect()
+    assert len(got) >= least and all(r.n_words <= 250 for r in got)
+    runs = [r.text.split(" ") for r in got]
+    back = runs[0] + [w for a, b in zip(runs, runs[1:]) for w in b[30:]]
+    assert all(a[-30:] == b[:30] for a, b in zip(runs, runs[1:]))
+    assert "".join(back) == "".join(text.split())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_pieces_of_the_tables_keep_every_word(spark):
+    """On all of sf0.001: limit, order, overlap and lines of the pieces, and most cuts at an end of sentence or stronger."""
+    from pyspark.sql import functions as F
+
+    from foliolens.session import table
+
+    sections = splitting.chunk_texts(table(spark, DATA, "chunk_map"), table(spark, DATA, "original_converted"))
+    bodies = {(r.paper_id, r.chunk_id, r.start_line): [w.w for w in r.words] for r in sections.where(F.size("words") > 250).collect()}
+    held = {}
+    for r in splitting.pieces(sections).collect():
+        held.setdefault((r.paper_id, r.chunk_id), []).append(r)
+    ends = 0
+    for (paper, chunk), ps in held.items():
+        ps.sort(key=lambda r: r.piece)
+        assert [r.piece for r in ps] == list(range(1, len(ps) + 1)) and all(r.n_words <= 250 and r.start_line <= r.end_line for r in ps)
+        words = [r.text.split(" ") for r in ps]
+        assert all(a[-30:] == b[:30] for a, b in zip(words, words[1:]))
+        assert words[0] + [w for b in words[1:] for w in b[30:]] in [v for k, v in bodies.items() if k[:2] == (paper, chunk)]
+        ends += sum(r.text.rstrip("\"'”’»)]*_").endswith((".", "!", "?", "。", "…", "।", "؟")) for r in ps[:-1])
+    assert {k[:2] for k in bodies} == set(held) and ends >= 0.6 * sum(len(ps) - 1 for ps in held.values())
+
+
 # 6 names
 
 
@@ -368,6 +407,18 @@ def test_looks(spark):
     assert [r.form for r in lookalike.one_form(spark.createDataFrame([(None,), ("",)], "t string"), "t", model).collect()] == [None, ""]
 
 
+def test_the_search_decides_between_near_letters(spark):
+    """Texts of one rough skeleton are one only if the best readings are: the letters beside them decide."""
+    words = "International Irish Ill lull full all London Oslo Order until 1890 2010 1001 Ireland Iceland ability " * 20
+    model = lookalike.LookalikeModel(lookalike.bigram_counts(spark.createDataFrame([(words,)], "t string"), "t"))
+    rows = [("International Order", "lnternational 0rder", 0), ("all Oslo", "aIl 0slo", 1), ("Ill", "lll", 2), ("1001", "lOOl", 3), ("Irish", "1rish", 4)]
+    df = spark.createDataFrame(rows, "a string, b string, same int")
+    assert all(lookalike.rough(a) == lookalike.rough(b) for a, b, _ in rows)
+    got = {r["same"] for r in lookalike.same_looks(df, "a", "b", model).collect()}
+    assert {0, 1, 4} <= got and 2 not in got
+    assert model.form("lnternational 0rder") == "International Order"
+
+
 # 8 encoding
 
 
