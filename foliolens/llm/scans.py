@@ -8,8 +8,9 @@ misreadings of characters finds every word within its bound. Candidates are rank
 by cost, then by the word before, then by frequency. A reference's raw text is
 looked up in the words of its own fields.
 
-The lookup is sharded: a word meets the words with the same folded beginning or the
-same folded ending, where characters that are misread for each other fold into one.
+The lookup is sharded by the three letters that words begin with: a query goes to every
+shard that one of its readings within the bound begins with, so no word is missed. Where
+any edit may count, a word keeps its beginning or its ending, so those are shards too.
 A shard is a part of the vocabulary, never a group of rows: each distinct word
 counts once there. Nothing is broadcast or collected.
 """
@@ -31,17 +32,46 @@ from foliolens.session import ship, table, written
 MISREAD = {
     "f": ["t"], "c": ["e", "o"], "5": ["s"], "0": ["o"], "1": ["l", "i"], "i": ["l", "í"], "!": ["i", "l"], "|": ["l", "i"],
     "l": ["i"], "9": ["g"], "6": ["é", "ó", "ö", "b"], "@": ["a"], "b": ["h", "ß"], "h": ["li", "b"], "ü": ["ti"], "8": ["b"], "$": ["s"],
-    "vv": ["w"], "rn": ["m"], "ri": ["n"], "ii": ["u", "n"], "cl": ["d"], "li": ["h"], "m": ["rn"], "u": ["ii"], "d": ["cl"],
+    "vv": ["w"], "rn": ["m"], "ri": ["n"], "ii": ["u", "n", "ü"], "cl": ["d"], "li": ["h"], "m": ["rn"], "u": ["ii"], "d": ["cl"],
     "w": ["vv"], "n": ["ri", "u"], "e": ["c"], "t": ["f"], "o": ["c"], "q": ["g"], "y": ["v"], "tn": ["m"], "nn": ["m"], "in": ["m"],
 }
-#: The cost of an edit that is no misreading. It lies beyond every bound: what only such an
-#: edit explains is a writer's slip or an unknown word, and stays.
-EDIT = 4
+# Signs that stand for i and l.
+SIGNS = {"i": "!1|l", "l": "1|!i"}
+
+
+def _composed() -> dict[str, list[str]]:
+    """MISREAD, and its pairs with the signs in place of their i and l: what is misread may be misread again."""
+    out = {k: list(v) for k, v in MISREAD.items()}
+    for pair, true in MISREAD.items():
+        if len(pair) == 2:
+            for x in pair[0] + SIGNS.get(pair[0], ""):
+                for y in pair[1] + SIGNS.get(pair[1], ""):
+                    have = out.setdefault(x + y, [])
+                    have += [c for c in true if c not in have and c != x + y]
+    out["rri"] = ["m"]
+    return out
+
+
+CONFUSIONS = _composed()
+_ENDWARD = {k[::-1]: [c[::-1] for c in v] for k, v in CONFUSIONS.items()}
+#: The cost of an edit that is no known misreading, in a word that shows a sign no writer puts into one, and in a word of
+#: letters only: there it lies beyond every bound, as it would as well be the writer's slip.
+EDIT, SLIP = 2, 4
+_SIGNED = re.compile(r"(?=.*[^\W\d_])(?:.*[@!|$]|.*[^\W\d_]\d[^\W\d_])")
+
+
+def edit_of(word: str) -> int:
+    """What an edit of word costs that no confusion explains."""
+    return EDIT if _SIGNED.match(word) else SLIP
+
+
 HYPHENS = "-‐\xad¬"
 _END_HYPHEN = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][ \t]*$")
 _NUM = r"[0-9lIO!|]*[0-9][0-9lIO!|]*"
 _PAGE = re.compile(rf"[-–—]\s*{_NUM}\s*[-–—]|\[\s*{_NUM}\s*[\]lI1|]?|{_NUM}\s*/\s*{_NUM}|(?:p|pp|S|o)[.,]\s*{_NUM}|[PSo][\w@!]{{2,4}}[ec]?\s{_NUM}|{_NUM}")
-_PAGE_WORD = re.compile(rf"(?:Page|Seite|Pagc|P@ge|Pa9e|Seife|Scite|oldal)\s*{_NUM}")
+_WORD_NUM = re.compile(rf"([^\W\d_][\w@!|$]{{2,6}}?)\s*{_NUM}")
+# Words before the number of a page.
+_PAGE_WORDS = Trie(["page", "seite", "oldal"])
 _ET_AL = re.compile(r"[A-ZÀ-ÞŐŰ0-9'’!|-]{3,} et a[l1I!|]\.?")
 _NUM_NAME = re.compile(rf"({_NUM})(\s+)([A-ZÀ-ÞŐŰ][\w'’!@-]+(?: [A-ZÀ-Þ][\w'’!@-]+)?)")
 _TEXT_NUM = re.compile(rf"(.*\S)\s{{2,}}({_NUM})")
@@ -61,15 +91,44 @@ def folded(word: str) -> str:
     return w.translate(_SINGLE).replace("é", "c")
 
 
+def _beginnings(word: str, confusions: dict[str, list[str]], size: int, bound: int) -> set[str]:
+    """The first `size` letters of all that word may be read as with at most `bound` confusions."""
+    out: set[str] = set()
+    stack = [(0, "", 0)]
+    seen = set()
+    while stack:
+        i, head, cost = stack.pop()
+        if len(head) >= size or i == len(word):
+            out.add(head[:size])
+            continue
+        if (i, head, cost) in seen:
+            continue
+        seen.add((i, head, cost))
+        stack.append((i + 1, head + word[i], cost))
+        if cost < bound:
+            for k in (1, 2, 3):
+                if i + k <= len(word):
+                    stack += [(i + k, head + true, cost + 1) for true in confusions.get(word[i : i + k], ())]
+    return out
+
+
 def shard_keys(word: str, query: bool) -> list[str]:
-    """The shards where a word is kept, or looked up."""
-    f = folded(word)
-    out = []
-    if not query or len(f) > 5:
-        out += [f"p{f[:3]}", f"s{f[-3:]}"]
-    if len(f) <= (5 if query else 6):
-        out += [f"P{f[:1]}", f"S{f[-1:]}"]
-    return list(dict.fromkeys(out))
+    """The shards where a word is kept, or looked up; every word within the bound of a query is in one of its shards.
+
+    Confusions alone change the beginning in known ways. An edit beside them, which costs EDIT, leaves the first or the
+    last three letters alone, in words of five letters or fewer the first or last two.
+    """
+    if not query:
+        out = [f"p{word[:3]}", f"s{word[-3:]}"]
+        return out + [f"P{word[:2]}", f"S{word[-2:]}"] if len(word) <= 5 else out
+    bound = bound_of(word)
+    keys = {f"p{x}" for x in _beginnings(word, CONFUSIONS, 3, bound)}
+    rest = bound - edit_of(word)
+    if rest >= 0:
+        keys |= {f"s{x[::-1]}" for x in _beginnings(word[::-1], _ENDWARD, 3, rest)}
+        if len(word) <= 8:
+            keys |= {f"P{x}" for x in _beginnings(word, CONFUSIONS, 2, rest)} | {f"S{x[::-1]}" for x in _beginnings(word[::-1], _ENDWARD, 2, rest)}
+    return sorted(keys)
 
 
 def bound_of(word: str) -> int:
@@ -97,6 +156,13 @@ def shouted(token: str, core: str) -> str:
     return core + "!" if f"{core}!" in token else core
 
 
+@lru_cache(maxsize=20_000)
+def page_word(s: str) -> bool:
+    """Whether s is a word for page, misread or not, and a number."""
+    m = _WORD_NUM.fullmatch(s)
+    return bool(m and weighted(_PAGE_WORDS, m[1].lower(), CONFUSIONS, 2, edit_of(m[1])))
+
+
 def running_lines(lines: list[str]) -> set[int]:
     """The indices of the lines of a page text that are headers, footers or page numbers."""
     out: set[int] = set()
@@ -106,7 +172,7 @@ def running_lines(lines: list[str]) -> set[int]:
         s = raw.strip()
         if not s:
             continue
-        if len(s) <= 14 and (_PAGE_WORD.fullmatch(s) or (_PAGE.fullmatch(s) and not re.match(r"[PSo]\w+\s", s))):
+        if len(s) <= 14 and (page_word(s) or (_PAGE.fullmatch(s) and not re.match(r"[PSo]\w+\s", s))):
             out.add(i)
         elif _ET_AL.fullmatch(s):
             out.add(i)
@@ -159,7 +225,7 @@ def running_in_reference(lines: list[str]) -> set[int]:
         word = nxt.split(" ", 1)[0]
         if not s or len(s) + 1 + len(word) > width:
             continue
-        if len(s) <= 14 and (_PAGE_WORD.fullmatch(s) or _PAGE.fullmatch(s)) or len(s) < 45 and (_SECTION_NUM.fullmatch(s) or _NUM_NAME.fullmatch(s) or _ET_AL.fullmatch(s)):
+        if len(s) <= 14 and (page_word(s) or _PAGE.fullmatch(s)) or len(s) < 45 and (_SECTION_NUM.fullmatch(s) or _NUM_NAME.fullmatch(s) or _ET_AL.fullmatch(s)):
             out.add(i)
     return out
 
@@ -223,7 +289,7 @@ class OwnWords:
             self.trie = Trie()
             for f in self.forms:
                 self.trie.add(f.lower(), f)
-        found = weighted(self.trie, core.lower(), MISREAD, bound_of(core), EDIT)
+        found = weighted(self.trie, core.lower(), CONFUSIONS, bound_of(core), edit_of(core))
         if not found:
             return None
         least = min(found.values())
@@ -369,7 +435,7 @@ def vocabulary(pairs: DataFrame) -> DataFrame:
 
 
 def nearest_words(queries: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows (q, w, cost): for each distinct query q all words w within its bound.
+    """Rows (q, w, cost): for each distinct query q all words w within its bound, none is missed.
 
     queries: q; words: w. Both are sent to their shards; a task builds one trie for
     each shard it holds and walks it with the automata of the shard's queries.
@@ -387,7 +453,7 @@ def nearest_words(queries: DataFrame, words: DataFrame) -> DataFrame:
 
         def close():
             for x in asked:
-                rows.extend((x, y, c) for y, c in weighted(trie, x, MISREAD, bound_of(x), EDIT).items())
+                rows.extend((x, y, c) for y, c in weighted(trie, x, CONFUSIONS, bound_of(x), edit_of(x)).items())
 
         for batch in batches:
             for key, is_query, x in zip(batch["key"], batch["is_query"], batch["x"], strict=True):
@@ -545,7 +611,7 @@ def reflowed(text: str, notes) -> str:
         else:
             core = stripped(token)
             for w in right.get(i, ()):
-                if core and core.lower() != w.lower() and weighted(Trie([w.lower()]), core.lower(), MISREAD, bound_of(core), EDIT):
+                if core and core.lower() != w.lower() and weighted(Trie([w.lower()]), core.lower(), CONFUSIONS, bound_of(core), edit_of(core)):
                     token = token.replace(core, w)
                     break
         parts[-1].append(token)

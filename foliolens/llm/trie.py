@@ -88,7 +88,7 @@ def weighted(trie: Trie, query: str, confusions: dict[str, list[str]], bound: in
         if i < n and (child := node.get(query[i])) is not None:
             stack.append((child, i + 1, cost))
         if cost + 1 <= bound and i < n:
-            for k in (1, 2):
+            for k in (1, 2, 3):
                 for true in confusions.get(query[i : i + k], ()) if i + k <= n else ():
                     at = node
                     for ch in true:

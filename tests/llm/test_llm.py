@@ -30,11 +30,46 @@ def test_automaton_finds_what_brute_force_finds():
 
 def test_weighted_automaton_counts_confusions():
     trie = Trie(["modern", "once", "comparatively"])
-    assert weighted(trie, "rnodern", scans.MISREAD, 3, scans.EDIT) == {"modern": 1}
-    assert weighted(trie, "oricc", scans.MISREAD, 3, scans.EDIT) == {"once": 2}
-    assert weighted(trie, "comparaüveiy", scans.MISREAD, 3, scans.EDIT) == {"comparatively": 2}
-    assert weighted(trie, "xnce", scans.MISREAD, 3, scans.EDIT) == {}
-    assert weighted(trie, "xnce", scans.MISREAD, 3, 2) == {"once": 2}
+    found = lambda q: weighted(trie, q, scans.CONFUSIONS, scans.bound_of(q), scans.edit_of(q))
+    assert found("rnodern") == {"modern": 1} and found("oricc") == {"once": 2} and found("comparaüveiy") == {"comparatively": 2}
+    # misread once more
+    assert found("r!odern") == {} and found("or!ce") == {"once": 1}
+    # an edit counts where a sign shows that no writer typed the word
+    assert found("xnce") == {} and found("x@nce") == {} and found("on@ce") == {"once": 2} and found("mode4rn") == {"modern": 2}
+
+
+def test_page_words_are_read_by_the_automaton():
+    for s in ("Page 12", "Pagc 3", "P@ge l4", "Pa9e 7", "Seife 12", "Scite 9", "oldal 5", "Seite12"):
+        assert scans.page_word(s), s
+    for s in ("Wage 12", "Stage 2", "Table 3", "Plage 4", "Page", "12"):
+        assert not scans.page_word(s), s
+
+
+def test_shards_lose_no_word_within_the_bound():
+    """Every word that a comparison with the whole vocabulary finds within the bound is in a shard of the query."""
+    rng = random.Random(8)
+    words = {"".join(rng.choice("abcdehilmnortuw") for _ in range(rng.randint(2, 10))) for _ in range(1500)} | {"in", "period", "decline", "survey", "group", "einen", "minority"}
+    whole = Trie(sorted(words))
+    queries = ["iii", "per!od", "deciine", "s!irvey", "groi!p", "eir!en", "mir!ority"]
+    back = {}
+    for k, v in scans.CONFUSIONS.items():
+        for c in v:
+            back.setdefault(c, []).append(k)
+    for w in rng.sample(sorted(words), 700):
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(w))
+            k = rng.choice((1, 2))
+            w = w[:i] + (rng.choice(back[w[i : i + k]]) if w[i : i + k] in back and rng.random() < 0.8 else rng.choice(["", "x", "!"])) + w[i + k :]
+            if not w:
+                break
+        queries.append(w or "x")
+    n = 0
+    for q in queries:
+        asked = set(scans.shard_keys(q, True))
+        for w in weighted(whole, q, scans.CONFUSIONS, scans.bound_of(q), scans.edit_of(q)):
+            n += 1
+            assert asked & set(scans.shard_keys(w, False)), (q, w)
+    assert n > 200
 
 
 def test_shards_keep_every_pair_within_the_bound():
