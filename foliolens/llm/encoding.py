@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens.session import ship, table
@@ -128,13 +130,29 @@ def encoder(path: str) -> BytePairEncoder:
     return BytePairEncoder(path)
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def send_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver to the executors, once a context; its name there."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _sent:
+        sc.addFile(path)
+        _sent.add((sc.applicationId, path))
+    return Path(path).name
+
+
 def encoded(df: DataFrame, column: str, out: str = "ids", path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
-    """df with the column `out` (array<int>): the ids of `column`, [] for null and empty texts."""
+    """df with the column `out` (array<int>): the ids of `column`, [] for null and empty texts.
+
+    path: the vocabulary on the driver, from where it is sent to the executors.
+    """
     ship(df.sparkSession)
+    name = send_file(df.sparkSession, path)
 
     @F.pandas_udf("array<int>")
     def ids(batches: pd.Series) -> pd.Series:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         return batches.map(enc.encode)
 
     return df.withColumn(out, ids(F.col(column)))
