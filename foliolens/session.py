@@ -48,24 +48,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder of spark.checkpoint.dir; the plan behind them is cut.
-
-    The folder is read from the session. Only where it is unset, as in tests, a
-    temporary folder is taken, and only in local mode.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="foliolens-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 _written: list[tuple[SparkSession, str]] = []
 
 
