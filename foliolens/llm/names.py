@@ -6,8 +6,10 @@ within two edits of each other are found by a trie join: every token is cut into
 three segments, of which two edits leave one whole, and sent to the shards of its
 segments; a task builds the trie of a shard and walks it with the Levenshtein
 automata of the shard's other tokens. Names with one rare token are grouped into
-entities by what else they say, in any order of tokens; entities of neighbouring
-rare tokens are joined where the rest agrees.
+entities by what else they say, in any order of tokens, a part for each letter that a
+given name begins with, so that a hot surname is no single task; entities of neighbouring
+rare tokens are joined where the rest agrees, those of one rare token where the given
+names are neighbours across parts.
 
 Every distinct name counts once, whatever its number of rows. Only tokens that
 occur with a fixed share of all names reach the driver: a few hundred at most.
@@ -387,11 +389,11 @@ def probes_of(token: str, bound: int = BOUND) -> list[str]:
     return sorted(out)
 
 
-def neighbours(tokens: DataFrame) -> DataFrame:
+def neighbours(tokens: DataFrame, shortest: int = 4) -> DataFrame:
     """Rows (a, b, distance) of the distinct tokens b within the bound of the tokens a, a <> b.
 
     tokens: token, bound. A swap of neighbours is one edit. All pairs within the bound are found.
-    Tokens of fewer than four letters have no neighbours: at one edit most of them are other names.
+    Tokens of fewer than `shortest` letters have no neighbours: at one edit most short surnames are other names.
     """
     ship(tokens.sparkSession)
 
@@ -403,7 +405,7 @@ def neighbours(tokens: DataFrame) -> DataFrame:
     def probed(s: pd.Series, bound: pd.Series) -> pd.Series:
         return pd.Series([probes_of(t, k) for t, k in zip(s, bound, strict=True)], dtype=object)
 
-    t = tokens.where("length(token) >= 4").groupBy("token").agg(F.max("bound").cast("int").alias("bound"))
+    t = tokens.where(F.length("token") >= shortest).groupBy("token").agg(F.max("bound").cast("int").alias("bound"))
     index = t.select("token", F.explode(kept("token")).alias("key"), F.lit(0).alias("bound"))
     probe = t.select("token", F.explode(probed("token", "bound")).alias("key"), "bound")
     sent = index.unionByName(probe).repartition("key").sortWithinPartitions("key", "bound")
@@ -460,15 +462,19 @@ def linked_names(names: DataFrame) -> DataFrame:
     ship(spark)
     reader = Reader(common_tokens(names))
 
+    def part_of(kind, token, rest, initials):
+        """A hot surname's people fall into parts by what their given names begin with."""
+        return (SHORT_FORMS.get(rest, rest) or initials)[:1] if kind == "p" else "organisation"
+
     def parse(batches):
         for b in batches:
-            rows = [(name, n, *reader.read(name)) for name, n in zip(b["name"], b["n"], strict=True)]
-            yield pd.DataFrame(rows, columns=["name", "n", "kind", "token", "rest", "initials"])
+            read = [(name, n, *reader.read(name)) for name, n in zip(b["name"], b["n"], strict=True)]
+            yield pd.DataFrame([(*r, part_of(*r[2:])) for r in read], columns=["name", "n", "kind", "token", "rest", "initials", "part"])
 
-    parsed = names.mapInPandas(parse, "name string, n long, kind string, token string, rest string, initials string").where("token <> ''")
+    parsed = names.mapInPandas(parse, "name string, n long, kind string, token string, rest string, initials string, part string").where("token <> ''")
 
     def group(batches):
-        token, held = None, []
+        token, part, held = None, None, []
         rows = []
 
         def close_group():
@@ -477,10 +483,10 @@ def linked_names(names: DataFrame) -> DataFrame:
 
         cols = ["token", "name", "n", "kind", "rest", "initials", "middle"]
         for b in batches:
-            for t, *r in zip(b["token"], b["name"], b["n"], b["kind"], b["rest"], b["initials"], strict=True):
-                if t != token:
+            for t, p, *r in zip(b["token"], b["part"], b["name"], b["n"], b["kind"], b["rest"], b["initials"], strict=True):
+                if t != token or p != part:
                     close_group()
-                    token, held = t, []
+                    token, part, held = t, p, []
                 held.append(r)
             if len(rows) > 20_000:
                 yield pd.DataFrame(rows, columns=cols)
@@ -489,8 +495,8 @@ def linked_names(names: DataFrame) -> DataFrame:
         yield pd.DataFrame(rows, columns=cols)
 
     grouped = written(
-        parsed.repartition("token")
-        .sortWithinPartitions("token", "name")
+        parsed.repartition("token", "part")
+        .sortWithinPartitions("token", "part", "name")
         .mapInPandas(group, "token string, name string, n long, kind string, rest string, initials string, middle string")
         .withColumn("entity", F.concat_ws("\t", "kind", "token", "rest", "initials"))
     )
@@ -521,11 +527,26 @@ def linked_names(names: DataFrame) -> DataFrame:
         (F.length("x_token") >= 8) & (F.col("x_forms") == 1) & (F.col("x_n") < F.col("y_n")) & (rarest("x_token") <= F.greatest(F.lit(1), odd))
     )
     fields = ("kind", "rest", "initials", "middle")
-    up = (
+    found = ["x_entity", "y_entity", "y_forms", "y_n", "distance"]
+    apart = (
         near.join(x, F.col("a") == F.col("x_token"))
         .join(y, F.col("b") == F.col("y_token"))
         .where(heavier & sure & (F.col("x_kind") == F.col("y_kind")))
         .where(agree(*(f"x_{f}" for f in fields), *(f"y_{f}" for f in fields)))
+        .select(*found)
+    )
+    # given names of one surname that a slip sent to different parts
+    given = ents.where("kind = 'p' and rest <> ''").select(F.col("rest").alias("token"), F.lit(1).alias("bound"))
+    turned = neighbours(given, 3).where(F.substring("a", 1, 1) != F.substring("b", 1, 1))
+    middles = (F.col("x_middle") == "") | (F.col("y_middle") == "") | (F.col("x_middle") == F.col("y_middle"))
+    together = (
+        turned.join(x.where("x_kind = 'p'"), F.col("a") == F.col("x_rest"))
+        .join(y.where("y_kind = 'p'"), (F.col("b") == F.col("y_rest")) & (F.col("x_token") == F.col("y_token")))
+        .where(heavier & middles)
+        .select(*found)
+    )
+    up = (
+        apart.unionByName(together)
         .groupBy("x_entity")
         .agg(F.max_by("y_entity", F.struct(-F.col("distance"), "y_forms", "y_n", "y_entity")).alias("up"))
     )

@@ -420,6 +420,17 @@ def test_name_variants_are_linked(spark):
     assert "?!" not in got
 
 
+def test_a_hot_surname_is_grouped_in_parts(spark):
+    """Slips in a given name's first letter are linked across the parts; other people of the surname are not."""
+    fill = [f"{g} {s}son" for g in ("Barbara", "Oleg", "Eugene") for s in "Abeling Borkmund Carte Dormicks Eldrit Fiskarup Gilb Haldorss Ivaro Jutten".split()]
+    rows = [(n, 3) for n in ("Barbara Hotname", "Hotname, Barbara", "Hotname, B.", "Babs Hotname", "Oleg Hotname", "Hotname O.", "Eugene Hotname")]
+    rows += [("Varbara Hotname", 1), ("Hotname, Qleg", 1)] + [(n, 1) for n in fill]
+    got = {r.name: r.entity for r in names.linked_names(spark.createDataFrame(rows, "name string, n long")).collect()}
+    assert len({got[n] for n in ("Barbara Hotname", "Hotname, Barbara", "Hotname, B.", "Babs Hotname", "Varbara Hotname")}) == 1
+    assert len({got[n] for n in ("Oleg Hotname", "Hotname O.", "Hotname, Qleg")}) == 1
+    assert len({got[n] for n in ("Barbara Hotname", "Oleg Hotname", "Eugene Hotname")}) == 3
+
+
 def test_name_lists(spark):
     rows = [(1, '["A B", "C; D"]'), (2, "A B; E F ;et al.;;"), (3, None), (4, " "), (5, "[broken"), (6, "[]")]
     got = {r.name: r.n for r in names.name_list(spark.createDataFrame(rows, "id long, authors string")).collect()}
