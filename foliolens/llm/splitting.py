@@ -20,8 +20,9 @@ LIMIT, OVERLAP = 250, 30
 WORD = r"(?U)\S+"
 #: Most characters of a word that count as one, and of a word of a script without blanks.
 RUN, SHORT_RUN = 32, 4
-DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-UNIT = rf"(?:[{DENSE}]{{1,{SHORT_RUN}}}+|[^\s{DENSE}]{{1,{RUN}}}+)"
+# The ranges of scripts without blanks (Thai, Lao, Burmese, Khmer, Kana, Han).
+DENSE = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}"
+UNIT = rf"(?:[^\s{DENSE}]{{1,{RUN}}}+|[{DENSE}]{{1,{SHORT_RUN}}}+)"
 
 
 def pattern(fresh: int) -> str:
