@@ -33,6 +33,8 @@ _BREAK = re.compile(r"<\s*(?:br|/?p|/?div|/?li|/?ul|/?ol)\b[^<>\n]{0,200}>", re.
 _QUOTE = re.compile(r"\[quote[^\]]*\](?:(?!\[quote|\[/quote\]).)*\[/quote\]", re.I | re.S)
 _CODE = re.compile(r"\[code\].*?(?:\[/code\]|\Z)|```.*?(?:```|\Z)", re.I | re.S)
 _SIGNATURE = re.compile(r"\n(?:--|_{4,}|-{4,})[ \t]*\n(?:[^\n]*\n?){0,4}\Z")
+#: A word of letters only.
+_PROPER = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])")
 _WROTE = re.compile(r"\bwrote:\s*$")
 _END = re.compile(r"[.!?…。！？।؟](?:[\"'”’»)\]\s]|[:;]-?[)(DP]|[^\w\s.,;:/|~#-])*\Z")
 #: Where a unit ends within a line: behind a terminator, but not that of a number.
@@ -90,7 +92,7 @@ def plain(text: str) -> str:
                 continue
             wrote = wrote and not s
             lines.append(line)
-        t = "\n".join(lines if any(map(str.strip, lines)) else quoted)
+        t = "\n".join(lines if any(map(_PROPER.search, lines)) else [*quoted, *lines])
     return _SIGNATURE.sub("", t) if "--" in t or "____" in t else t
 
 
@@ -186,12 +188,17 @@ def own_units(body: str) -> list[Unit]:
 
     A list of sources below sentences is not counted. Sentences shorter than PHRASE words that
     hold one of the page's three most frequent pairs of words, or a word that stands in a quarter of the
-    units, are phrases (k), if there are LEAST_PHRASES of them and they hold most of the page's words.
+    units, are phrases (k), if there are LEAST_PHRASES of them and they hold most of the page's words; so are
+    somewhat longer ones that stand there as often word for word.
     """
     units = [Unit(u) for x in body.split("\n") if x.strip() for u in _UNIT.split(unmasked(x)) if u and u.strip()]
     if any(u.kind == "s" for u in units):
         units = [u for u in units if not u.sources]
-    short = [u for u in units if u.ended and u.kind in "stn" and len(u.words) < PHRASE]
+    again = Counter(tuple(u.words) for u in units if u.kind == "s")
+    for u in units:
+        if u.kind == "s" and len(u.words) < PHRASE + 3 and again[tuple(u.words)] >= LEAST_PHRASES:
+            u.kind = "k"
+    short = [u for u in units if u.ended and u.kind in "stnk" and len(u.words) < PHRASE]
     if len(short) >= LEAST_PHRASES:
         pairs = Counter(p for u in units for p in pairs_of(u.words))
         marked = {p for p, n in pairs.most_common(3) if n >= 3}
@@ -242,7 +249,8 @@ def measures(text: str | None) -> dict[str, float]:
     the three most frequent pairs of neighbours; repeat: the share of loose words that
     came before; figures: figures to a loose word; links: links beside source lists;
     offers, offered: units with a price and a number, their share; tags, tagged:
-    different words in lists of tags, their share; phrased: the share of short phrases.
+    different words in lists of tags, their share; phrased: the share of phrases
+    and of words that repeat each other.
     """
     body = plain(text) if text else ""
     units = own_units(body) if possible(body) else []
@@ -272,7 +280,7 @@ def measures(text: str | None) -> dict[str, float]:
         "top": sum(v for _, v in shapes.most_common(SHAPES)) / max(1, weight),
         "offered": sum(x.weight for x in loose if x.kind == "o") / max(1, weight),
         "tagged": sum(x.weight for x in loose if x.kind == "t") / max(1, weight),
-        "phrased": sum(x.weight for x in loose if x.kind == "k") / max(1, weight),
+        "phrased": sum(x.weight for x in loose if x.kind in "kr") / max(1, weight),
         "cover": hit / n,
         "repeat": repeated(words),
         "figures": sum(min(x.figures, 3) for x in loose if not x.links) / n,

@@ -536,6 +536,10 @@ def test_packing(spark):
         ("saddle\nmeadow\nkettle\nhub\nrim", True),
         (">> best trail lamps price * buy trail lamps online * trail lamps sale * cheap trail lamps", True),
         ("Re: " + " ".join(f"https://x{i}.test/a" for i in range(8)), True),
+        (">> Lamps near us? Lamps for sale? Cheap lamps? Buy lamps online? Lamps review? Lamps price?\n[15e86]", True),
+        ("the best price of phone covers. " * 9, True),
+        ("#cheap #shoes #cheap #shoes #shoes #sale #cheap #sale #shoes #sale #cheap shoes #cheap", True),
+        ("> cheap lamps, best lamps, buy lamps, lamps sale, lamps price\nlol", False),
         ("WTB: oak panel, marking gauge, jack plane, hide glue", False),
         ("For sale: jack plane, 25.00 EUR, hide glue, 4.00 EUR, pickup only", False),
         ("Nobody here sells the valve!\n\nI never trusted the valve. Not sure the valve is the problem here, honestly.", False),
