@@ -321,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
         "manifest": sql(f"""SELECT p.doc_id, '{{"paper":{{"slug":"' || p.slug || '"}},"chunking":{{"total_chunks":' || coalesce(c.n, 0) || '}},"references":{{"count":' || coalesce(r.refs, 0) || '}},"lint":{{"status":"'
  || CASE WHEN s.doc_id IS NULL THEN 'UNKNOWN' WHEN f.n > 0 THEN 'WARN' ELSE 'PASS' END || '","finding_count":' || coalesce(f.n, 0) || '}}}}' AS manifest FROM (SELECT DISTINCT paper_id AS doc_id, {slug} AS slug FROM papers) p
  LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c USING (doc_id) LEFT JOIN ref_counts r USING (doc_id) LEFT JOIN seed0 s USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM lint0 GROUP BY doc_id) f USING (doc_id)"""),
+        "reference_counts": sql(f"""SELECT s.doc_id, s.n::BIGINT AS in_source, m.n::BIGINT AS in_md FROM ({CTES["source_refs"].replace("source", "md").replace("FROM pairs", "FROM docs")}) s LEFT JOIN listed_refs m USING (doc_id)"""),
         "stubs": sql(f"SELECT doc_id, dimension, '# ' || dimension || ' findings' || chr(10) || chr(10) || '_Nothing found yet._' || chr(10) AS body FROM docs CROSS JOIN (SELECT unnest([{', '.join(map(q, w.DIMENSIONS))}]) AS dimension)"),
         "text_footnotes": sql(f"SELECT doc_id, greatest({count('md', '(?:^|\\n)\\s*\\d{{1,3}}\\s+[A-Z]')}, {count('md', '(?:^|\\n)\\s*[*†‡§]\\s+\\S')}) AS footnotes FROM docs".replace("{{", "{").replace("}}", "}")),
         "symbol_inventory": sql("SELECT doc_id, symbol, min(line_no) AS first_line, count(*) AS uses FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(text, '\\\\[a-z]+')) AS symbol FROM lines) GROUP BY doc_id, symbol"),
