@@ -230,17 +230,30 @@ def paragraph_bounds(docs: DataFrame) -> DataFrame:
     return docs.where("md <> ''").select("doc_id", first.alias("first_paragraph"), last.alias("last_paragraph"))
 
 
+def paragraph_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, last_line, words): the paragraphs, runs of lines that are not blank, by their first line; a heading begins one."""
+    s = trimmed(F.col("text"))
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    starts = (s == "") | s.rlike(r"^#{1,3}\s+\S")
+    run = lines(docs).withColumns({"blank": s == "", "run": F.sum(starts.cast("int")).over(w)})
+    words = F.sum(count_of(F.col("text"), WORDS_LETTER))
+    return run.where(~F.col("blank")).groupBy("doc_id", "run").agg(F.min("line_no").alias("line_no"), F.max("line_no").alias("last_line"), words.alias("words")).drop("run")
+
+
 def bounded_pieces(chunks: DataFrame, line_words: DataFrame, target: int, overlap: int) -> DataFrame:
     """(doc_id, chunk_id, piece, start_line, end_line): sections cut at lines once `target` words are passed, each
     piece reaching back over the lines that hold the last `overlap` words.
 
-    line_words: doc_id, line_no, words. A line is never cut.
+    line_words: doc_id, line_no, words. A line is never cut. With a column last_line the rows are paragraphs, as
+    `paragraph_words` gives them, and cuts are at paragraphs only.
     """
+    if "last_line" not in line_words.columns:
+        line_words = line_words.withColumn("last_line", F.col("line_no"))
     w = Window.partitionBy("doc_id", "chunk_id").orderBy("line_no")
     inside = chunks.select("doc_id", "chunk_id", "start_line", "end_line").join(line_words, "doc_id").where(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
     before = inside.withColumn("before", F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     piece = before.withColumn("piece", F.floor(F.col("before") / target) + 1)
-    own = piece.groupBy("doc_id", "chunk_id", "piece").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("end_line"), F.min("before").alias("from_word"))
+    own = piece.groupBy("doc_id", "chunk_id", "piece").agg(F.min("line_no").alias("first_line"), F.max("last_line").alias("end_line"), F.min("before").alias("from_word"))
     reach = before.select("doc_id", "chunk_id", F.col("line_no").alias("l"), (F.col("before") + F.col("words")).alias("upto"))
     back = own.join(reach, ["doc_id", "chunk_id"]).where((F.col("upto") > F.col("from_word") - overlap) & (F.col("l") <= F.col("first_line")))
     return back.groupBy("doc_id", "chunk_id", "piece", "end_line").agg(F.min("l").alias("start_line")).select(

@@ -274,6 +274,10 @@ def oracle_sql() -> dict[str, str]:
         "heading_recovery": sql(heading),
         "bounded_pieces": sql(f"""SELECT * FROM (WITH x AS (SELECT c.doc_id, c.chunk_id, l.line_no, {count("l.text", t.WORDS_LETTER)} AS words, coalesce(sum({count("l.text", t.WORDS_LETTER)}) OVER (PARTITION BY c.doc_id, c.chunk_id ORDER BY l.line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
  FROM chunks c JOIN lines l ON l.doc_id = c.doc_id AND l.line_no BETWEEN c.start_line AND c.end_line), o AS (SELECT doc_id, chunk_id, before // 120 + 1 AS piece, min(line_no) AS first_line, max(line_no) AS end_line, min(before) AS from_word FROM x GROUP BY ALL) {pieces})"""),
+        "paragraph_pieces": sql(f"""SELECT * FROM (WITH u AS (SELECT doc_id, run, min(line_no) AS line_no, max(line_no) AS last_line, sum(words)::BIGINT AS words FROM (SELECT *, sum(CASE WHEN s = '' OR regexp_matches(s, '^#{{1,3}}\\s+\\S') THEN 1 ELSE 0 END)
+ OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (SELECT doc_id, line_no, {trim("text")} AS s, {count("text", t.WORDS_LETTER)} AS words FROM lines)) WHERE s <> '' GROUP BY doc_id, run), x AS (SELECT c.doc_id, c.chunk_id, u.line_no, u.last_line, u.words,
+ coalesce(sum(u.words) OVER (PARTITION BY c.doc_id, c.chunk_id ORDER BY u.line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM chunks c JOIN u ON u.doc_id = c.doc_id AND u.line_no BETWEEN c.start_line AND c.end_line),
+ o AS (SELECT doc_id, chunk_id, before // 120 + 1 AS piece, min(line_no) AS first_line, max(last_line) AS end_line, min(before) AS from_word FROM x GROUP BY ALL) {pieces})"""),
         "reference_section": sql(section),
         "reference_entries": sql("SELECT * FROM entries"),
         "reference_fields": fields_sql(),

@@ -60,6 +60,11 @@ def _bounded(s, d):
     return structure.bounded_pieces(structure.chunk_map(docs), words, 120, 30)
 
 
+def _paragraphs(s, d):
+    docs = views.docs(s, d)
+    return structure.bounded_pieces(structure.chunk_map(docs), structure.paragraph_words(docs), 120, 30)
+
+
 def _quotes(s, d):
     docs = views.docs(s, d)
     q = structure.sentences(docs).select("doc_id", F.when(F.col("pos") % 4 == 0, F.concat("sentence", F.lit(" x"))).otherwise(F.col("sentence")).alias("quote"))
@@ -131,6 +136,7 @@ _QUERIES = {
     "dimension_assignments": lambda s, d: structure.dimension_assignments(_chunks(s, d)),
     "heading_recovery": lambda s, d: structure.recovered_headings(views.docs(s, d)),
     "bounded_pieces": _bounded,
+    "paragraph_pieces": _paragraphs,
     "reference_section": lambda s, d: bibliography.section(views.docs(s, d)),
     "reference_entries": lambda s, d: bibliography.entries(views.bibliography(s, d)),
     "reference_fields": lambda s, d: bibliography.fields(views.references(s, d), "ref_id", "raw_text"),

@@ -441,3 +441,11 @@ def test_functions_for_sql(spark):
 def test_native_markdown(spark):
     p = spark.createDataFrame([(1, 2, None), (1, 1, " a ")], "doc_id long, page_no int, text string")
     assert workspace.native_markdown(p).first().md == "## Page 1\n\na\n\n## Page 2\n\n\n"
+
+
+def test_pieces_are_cut_at_paragraphs(spark):
+    d = docs(spark, "# H\na b c\nd e\n\nf g h i\n\n\nj k\n# I\nl", "", None)
+    got = {(r.line_no, r.last_line, r.words) for r in structure.paragraph_words(d).collect()}
+    assert got == {(1, 3, 6), (5, 5, 4), (8, 8, 2), (9, 10, 2)}
+    p = structure.bounded_pieces(structure.chunk_map(d), structure.paragraph_words(d), 6, 2)
+    assert {(r.chunk_id, r.piece, r.start_line, r.end_line) for r in p.collect()} == {("c1", 1, 1, 3), ("c1", 2, 1, 8), ("c2", 1, 9, 10)}
