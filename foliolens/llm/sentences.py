@@ -12,15 +12,18 @@ One pass reads every document and writes the counts of its tokens, summed over t
 partition, and those of its own ambiguous tokens; these are joined with the sums of the
 corpus; the second pass splits. No table of the corpus is broadcast or collected.
 Tokens longer than LONGEST characters, such as sentences of scripts without blanks,
-have no counts.
+have no counts. A worker holds the rows of a few documents at once, however many a batch has.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,10 @@ _CAPTION = re.compile(r"\s*(\*\*)?(Figure|Table)\s+\d+", re.I)
 _RULE = re.compile(r"\s*(-{3,}|={3,}|\*{3,}|_{3,})\s*$")
 CORE = OPENERS + CLOSERS + ",;:!?…،؛"
 LONGEST = 60
+#: Rows that a worker hands on at once, and documents that it reads at once.
+ROWS, DOCS = 20_000, 256
+#: Tokens whose sums a worker holds before it hands them on.
+HELD = 200_000
 _PAIRED = re.compile(f"[{re.escape(OPENERS + CLOSERS)}]")
 _INNER_STOP = re.compile(rf"[^\W\d_]{{2,}}(?=\.[^\W\d_])|(?<=[{re.escape(STOPS)}{re.escape(OPENERS + CLOSERS)}])[^\W_]+(?:[-'’.][^\W_]+)*")
 _ENDS = frozenset(STOPS + CLOSERS)
@@ -443,6 +450,11 @@ def readings(docs: DataFrame, key: str, text: str, wanted=None) -> DataFrame:
     def frame(keys, rows):
         return pd.DataFrame(rows, columns=["token", *STATS]).assign(k=pd.Series(keys, dtype=object))[["k", "token", *STATS]]
 
+    def sums(total):
+        items = iter(total.items())
+        while rows := [(x, *v) for x, v in islice(items, ROWS)]:
+            yield frame([None] * len(rows), rows)
+
     def read(batches):
         total: dict[str, list[int]] = {}
         for batch in batches:
@@ -462,11 +474,14 @@ def readings(docs: DataFrame, key: str, text: str, wanted=None) -> DataFrame:
                         for n, x in enumerate(s):
                             if x:
                                 have[n] += x
+                if len(rows) >= ROWS:
+                    yield frame(keys, rows)
+                    keys, rows = [], []
+                if len(total) > HELD:
+                    yield from sums(total)
+                    total = {}
             yield frame(keys, rows)
-            if len(total) > 200_000:
-                yield frame([None] * len(total), [(x, *v) for x, v in total.items()])
-                total = {}
-        yield frame([None] * len(total), [(x, *v) for x, v in total.items()])
+        yield from sums(total)
 
     wanted = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), wanted.alias("wanted")).where("t <> ''")
@@ -486,24 +501,32 @@ def sentence_units(docs: DataFrame, key: str, text: str, read: DataFrame) -> Dat
     known = own.join(counts, "token").groupBy("k").agg(F.collect_list(F.struct("token", "own", "all")).alias("stats"))
 
     def split(batches):
-        for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("k", "unit", "start_pos", "end_pos", "sentence")}
-            for k, t, stats in zip(batch["k"].tolist(), batch["t"], batch["stats"], strict=True):
-                mine, corpus = {}, {}
-                for s in stats if stats is not None else ():
-                    mine[s["token"]], corpus[s["token"]] = s["own"].tolist(), s["all"].tolist()
-                units = Splitter(mine, corpus).units(t)
-                out["k"] += [k] * len(units)
-                out["unit"] += range(1, len(units) + 1)
-                out["start_pos"] += [s + 1 for s, _ in units]
-                out["end_pos"] += [e for _, e in units]
-                out["sentence"] += [t[s:e] for s, e in units]
-            yield pd.DataFrame(out)
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCS):
+                batch = whole.slice(at, DOCS)
+                stats = batch.column("stats")
+                each = stats.flatten()
+                tokens = each.field("token").to_pylist()
+                own, corpus = (each.field(c).flatten().to_numpy().reshape(-1, len(STATS)).tolist() for c in ("own", "all"))
+                ends = np.cumsum(stats.value_lengths().fill_null(0).to_numpy())
+                lengths, n, starts, stops, sentences = [], [], [], [], []
+                lo = 0
+                for t, hi in zip(batch.column("t").to_pylist(), ends.tolist(), strict=True):
+                    units = Splitter(dict(zip(tokens[lo:hi], own[lo:hi])), dict(zip(tokens[lo:hi], corpus[lo:hi]))).units(t)
+                    lo = hi
+                    lengths.append(len(units))
+                    n += range(1, len(units) + 1)
+                    starts += [s + 1 for s, _ in units]
+                    stops += [e for _, e in units]
+                    sentences += [t[s:e] for s, e in units]
+                keys = batch.column("k").take(pa.array(np.repeat(np.arange(batch.num_rows), lengths)))
+                numbers = (pa.array(x, pa.int32()) for x in (n, starts, stops))
+                yield pa.RecordBatch.from_arrays([keys, *numbers, pa.array(sentences, pa.string())], names=["k", "unit", "start_pos", "end_pos", "sentence"])
 
     kind = dict(docs.dtypes)[key]
     return (
         base.join(known, "k", "left")
-        .mapInPandas(split, f"k {kind}, unit int, start_pos int, end_pos int, sentence string")
+        .mapInArrow(split, f"k {kind}, unit int, start_pos int, end_pos int, sentence string")
         .withColumnRenamed("k", key)
     )
 

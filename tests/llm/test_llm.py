@@ -4,9 +4,12 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.classic.dataframe import DataFrame
 
 from foliolens.llm import canonical, encoding, entities, lookalike, names, packing, registry, scans, sentences, splitting, stuffing
 from foliolens.llm.trie import Trie, weighted, within
@@ -305,6 +308,29 @@ def test_sentence_units_take_the_corpus(spark):
     assert sentences.sentence_units(empty, "k", "t", sentences.readings(empty, "k", "t")).count() == 0
 
 
+def handed_on(monkeypatch, make, batch):
+    """The sizes of what the function that `make` maps over a table hands on for one batch."""
+    mapped = []
+    for how in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(f"pyspark.sql.classic.dataframe.DataFrame.{how}", lambda df, f, schema, real=getattr(DataFrame, how): mapped.append(f) or real(df, f, schema))
+    make()
+    return [len(x) for x in mapped[-1](iter([batch]))]
+
+
+def test_a_batch_of_many_documents_is_split_in_parts(spark, monkeypatch):
+    """A worker's memory must not follow the number of documents in a batch, which is up to ten thousand."""
+    n, text = 3000, "He met Mme. Blanc there. We saw 3 cases, e.g. of No. 7."
+    d = spark.createDataFrame([(1, text)], "k long, t string")
+    sizes = handed_on(monkeypatch, lambda: sentences.readings(d, "k", "t"), pd.DataFrame({"k": range(n), "t": text, "wanted": True}))
+    assert sum(sizes) > sentences.ROWS and max(sizes) < 1.1 * sentences.ROWS
+    own = [{"token": "Mme", "own": [1] * 8, "all": [2] * 8}]
+    stats = pa.array([own, None] * (n // 2), pa.list_(pa.struct([("token", pa.string()), ("own", pa.list_(pa.int32())), ("all", pa.list_(pa.int64()))])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([text] * n), stats], names=["k", "t", "stats"])
+    read = sentences.readings(d, "k", "t")
+    sizes = handed_on(monkeypatch, lambda: sentences.sentence_units(d, "k", "t", read), batch)
+    assert sum(sizes) == 2 * n and max(sizes) == 2 * sentences.DOCS
+
+
 # 4 scans
 
 
