@@ -12,7 +12,8 @@ The lookup is sharded by the three letters that words begin with: a query goes t
 shard that one of its readings within the bound begins with, so no word is missed. Where
 any edit may count, a word keeps its beginning or its ending, so those are shards too.
 A shard is a part of the vocabulary, never a group of rows: each distinct word
-counts once there. Nothing is broadcast or collected.
+counts once there. Nothing is broadcast or collected. A worker hands its rows on after
+each ROWS of them, however many texts a batch has.
 """
 
 from __future__ import annotations
@@ -65,6 +66,8 @@ def edit_of(word: str) -> int:
     return EDIT if _SIGNED.match(word) else SLIP
 
 
+#: Rows, or pairs of words, that a worker holds at most besides those of one text.
+ROWS = 20_000
 HYPHENS = "-‐\xad¬"
 _END_HYPHEN = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][ \t]*$")
 _NUM = r"[0-9lIO!|]*[0-9][0-9lIO!|]*"
@@ -82,7 +85,7 @@ _MULTI = (("vv", "w"), ("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("li"
 _SINGLE = str.maketrans("f501l!|9@be8$6ó", "tsoiiiigahchsée", "")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def folded(word: str) -> str:
     """word with characters that are misread for each other made one."""
     w = word.lower()
@@ -382,6 +385,8 @@ def page_words(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     schema = "row_id long, line_no int, kind string, a string, b string, head string, later int, prev string, begins boolean"
 
+    columns = ["row_id", "line_no", "kind", "a", "b", "head", "later", "prev", "begins"]
+
     def run(batches):
         for batch in batches:
             rows = []
@@ -403,7 +408,10 @@ def page_words(docs: DataFrame) -> DataFrame:
                             rows.append((rid, i + 1, "plain", a, loud if loud != a else "", "", 0, prev, begins))
                         last, end = a, token
                     prev, begins = last.lower(), end.rstrip("\"'”’»)]")[-1:] in ".!?:"
-            yield pd.DataFrame(rows, columns=["row_id", "line_no", "kind", "a", "b", "head", "later", "prev", "begins"])
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return docs.where("text <> ''").mapInPandas(run, schema)
 
@@ -412,9 +420,12 @@ def word_pairs(clean: DataFrame) -> DataFrame:
     """Rows (first, form, n) of clean texts: a word as written after the lower case word before it, the count."""
     ship(clean.sparkSession)
 
+    def frame(total):
+        return pd.DataFrame([(*k, n) for k, n in total.items()], columns=["first", "form", "n"])
+
     def run(batches):
+        total: dict[tuple[str, str], int] = {}
         for batch in batches:
-            total: dict[tuple[str, str], int] = {}
             for text in batch["text"]:
                 first = ""
                 for token in text.split():
@@ -422,7 +433,10 @@ def word_pairs(clean: DataFrame) -> DataFrame:
                     if core and any(c.isalpha() for c in core):
                         total[first, core] = total.get((first, core), 0) + 1
                     first = core.lower()
-            yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["first", "form", "n"])
+                if len(total) > 5 * ROWS:
+                    yield frame(total)
+                    total = {}
+        yield frame(total)
 
     rows = clean.where("text <> ''").mapInPandas(run, "first string, form string, n long")
     return rows.groupBy("first", "form").agg(F.sum("n").alias("n"))
@@ -448,26 +462,19 @@ def nearest_words(queries: DataFrame, words: DataFrame) -> DataFrame:
 
     def run(batches):
         shard: str | None = None
-        trie, asked = Trie(), []
+        trie = Trie()
         rows = []
-
-        def close():
-            for x in asked:
-                rows.extend((x, y, c) for y, c in weighted(trie, x, CONFUSIONS, bound_of(x), edit_of(x)).items())
-
         for batch in batches:
             for key, is_query, x in zip(batch["key"], batch["is_query"], batch["x"], strict=True):
                 if key != shard:
-                    close()
-                    shard, trie, asked = key, Trie(), []
-                if is_query:
-                    asked.append(x)
-                else:
+                    shard, trie = key, Trie()
+                if not is_query:  # a shard's words come before its queries
                     trie.add(x, x)
-            if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=["q", "w", "cost"])
-                rows = []
-        close()
+                    continue
+                rows += [(x, y, c) for y, c in weighted(trie, x, CONFUSIONS, bound_of(x), edit_of(x)).items()]
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=["q", "w", "cost"])
+                    rows = []
         yield pd.DataFrame(rows, columns=["q", "w", "cost"])
 
     # of a shard without queries nothing is needed

@@ -361,6 +361,23 @@ def test_pages_are_repaired(spark):
     assert scans.repaired_pages(none, none).count() == 0
 
 
+def test_a_batch_of_many_pages_is_read_in_parts(spark, monkeypatch):
+    n = 3000
+    d = spark.createDataFrame([(1, PAGE)], "row_id long, text string")
+    sizes = handed_on(monkeypatch, lambda: scans.page_words(d), pd.DataFrame({"row_id": range(n), "text": PAGE}))
+    assert sum(sizes) > 3 * scans.ROWS and max(sizes) < 1.1 * scans.ROWS
+    # pairs are summed over batches and handed on before they are many
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{i}x" for k in range(100)) for i in range(n)]
+    sizes = handed_on(monkeypatch, lambda: scans.word_pairs(d), pd.DataFrame({"text": texts}))
+    assert sum(sizes) == 100 * n and max(sizes) < 6 * scans.ROWS
+    # the queries of one shard, each with many words in reach, don't wait for one another
+    words = [f"mode{a}{b}n" for a in "bcdfghjk" for b in "bcdfghjk"]
+    asked = [f"mode{a}!n" for a in "bcdfghjk"] * 400
+    batch = pd.DataFrame({"key": "Sn", "is_query": [False] * len(words) + [True] * len(asked), "x": words + asked})
+    sizes = handed_on(monkeypatch, lambda: scans.nearest_words(d.selectExpr("text q"), d.selectExpr("text w")), batch)
+    assert sum(sizes) > scans.ROWS and max(sizes) < 1.1 * scans.ROWS
+
+
 def test_references_are_repaired():
     raw = "[3] Alpha, B.: \"Te decline of rural ar-\nConclusion 232\nchives in Norvale, a fie1d trial,\" *Annals of\nMunicipal Wages*, 2001."
     found, text = scans.repair_reference(raw, ["Te decline of rural archives in Norvale, a field trial", "Alpha, B.", "Annals of Municipal Wages", "2001", None])
