@@ -467,14 +467,16 @@ class Logistic:
 
 
 def _classes(df: DataFrame, id_col: str, venue: str) -> tuple[DataFrame, DataFrame]:
-    """(id, h, g) of the distinct rows, and one row a class of equal attributes; a null counts as blank.
+    """(id, several, h, g) of the distinct rows, and one row a class of equal attributes; a null counts as blank.
 
-    h and g are two hashes of the attributes, 128 bits together; n numbers the classes.
+    h and g are two hashes of the attributes, 128 bits together; n numbers the classes. several: the id stands in several classes.
     """
     cols = ["title", "authors", "year", "doi", venue]
     wide = df.select(F.col(id_col).alias("id"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols))
     wide = wide.withColumns({"h": F.xxhash64(*cols), "g": F.xxhash64(F.lit(1), *cols)}).withColumnRenamed(venue, "venue")
-    return wide.select("id", "h", "g").distinct(), wide.drop("id").distinct().withColumn("n", F.monotonically_increasing_id())
+    of = wide.groupBy("id").agg(F.collect_set(F.struct("h", "g")).alias("of"))
+    ids = of.select("id", (F.size("of") > 1).alias("several"), F.inline("of"))
+    return ids, wide.drop("id").distinct().withColumn("n", F.monotonically_increasing_id())
 
 
 def common_authors(*described: DataFrame) -> frozenset[str]:
@@ -528,6 +530,30 @@ def matches(refs: DataFrame, records: DataFrame) -> DataFrame:
     and venue or doi to agree. Rows without any attribute match nothing. Of two
     empty tables, or one, the result is empty.
     """
+    scored, ref_ids, rec_ids = class_matches(refs, records)
+    return scored.join(ref_ids, ["x_h", "x_g"]).join(rec_ids, ["y_h", "y_g"]).select("ref_id", "record_id", "confidence")
+
+
+def matched(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """The distinct rows (ref_id, record_id) of matches.
+
+    A pair of classes comes once, so a pair of ids that stand in one class each does as well. Only the others are
+    compared, as the pairs of ids grow with the square of the copies of a work.
+    """
+    scored, ref_ids, rec_ids = class_matches(refs, records)
+    scored = written(scored.drop("confidence"))
+    one, more = F.col("x_several"), F.col("y_several")
+    by_ref = lambda df, which: df.join(ref_ids.where(which), ["x_h", "x_g"])
+    by_record = lambda df, which: df.join(rec_ids.where(which), ["y_h", "y_g"])
+    repeated = by_ref(scored, one)
+    parts = [by_record(by_ref(scored, ~one), ~more), by_record(repeated, ~more), by_record(repeated, more), by_ref(by_record(scored, more), ~one)]
+    once, *rest = (p.select("ref_id", "record_id") for p in parts)
+    return once.unionByName(rest[0].unionByName(rest[1]).unionByName(rest[2]).distinct())
+
+
+def class_matches(refs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(x_h, x_g, y_h, y_g, confidence) of the pairs of classes that match, each once, and the ids of the classes of
+    either side: (ref_id, x_several, x_h, x_g) and (record_id, y_several, y_h, y_g)."""
     ship(refs.sparkSession)
     ref_ids, ref_rows = _classes(refs, "ref_id", "journal")
     rec_ids, rec_rows = _classes(records, "record_id", "venue")
@@ -591,11 +617,8 @@ def matches(refs: DataFrame, records: DataFrame) -> DataFrame:
             yield b[list(CLASS)].assign(confidence=p, exact=exact(b))
 
     scored = measured.mapInPandas(judge, ", ".join(f"{c} long" for c in CLASS) + ", confidence double, exact boolean").where((F.col("confidence") >= ACCEPT) & F.col("exact"))
-    return (
-        scored.join(ref_ids.withColumnsRenamed({"h": "x_h", "g": "x_g", "id": "ref_id"}), ["x_h", "x_g"])
-        .join(rec_ids.withColumnsRenamed({"h": "y_h", "g": "y_g", "id": "record_id"}), ["y_h", "y_g"])
-        .select("ref_id", "record_id", "confidence")
-    )
+    named = lambda ids, s, name: ids.withColumnsRenamed({"h": f"{s}_h", "g": f"{s}_g", "several": f"{s}_several", "id": name})
+    return scored.drop("exact"), named(ref_ids, "x", "ref_id"), named(rec_ids, "y", "record_id")
 
 
 def exact(b: pd.DataFrame) -> np.ndarray:
@@ -609,13 +632,17 @@ def exact(b: pd.DataFrame) -> np.ndarray:
     return (~titled | (same_title & people)).to_numpy()
 
 
-def p1_links(spark, sf_dir) -> DataFrame:
-    """Rows (ref_id, record_id, confidence) of all references and the records of the same work."""
+def _inputs(spark, sf_dir):
     refs = table(spark, sf_dir, "original_references").select("ref_id", "title", "authors", "year", "doi", "journal")
     records = table(spark, sf_dir, "catalog_records").select("record_id", "title", "authors", "year", "doi", "venue")
-    return matches(refs, records)
+    return refs, records
+
+
+def p1_links(spark, sf_dir) -> DataFrame:
+    """Rows (ref_id, record_id, confidence) of all references and the records of the same work."""
+    return matches(*_inputs(spark, sf_dir))
 
 
 def p1_found(spark, sf_dir) -> DataFrame:
     """Rows (ref_id, record_id): one for each reference and catalog record of the same work."""
-    return p1_links(spark, sf_dir).select("ref_id", "record_id").distinct()
+    return matched(*_inputs(spark, sf_dir))

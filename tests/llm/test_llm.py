@@ -174,6 +174,24 @@ def test_entities_count_null_as_blank(spark):
     assert {x for x in got if x[0] < 10} == {(k, n) for k in range(4) for n in range(2)}
 
 
+def test_only_ids_of_several_classes_are_compared(spark):
+    """Pairs grow with the square of a work's copies, so p1_found must not sort them all out again; each comes once all the same."""
+    works = _works(60)
+    refs = [(100 * c + k, *w, "") for k, w in enumerate(works) for c in range(3)]
+    recs = [(100 * c + k, *w, "") for k, w in enumerate(works) for c in range(2)]
+    # ids that stand in two classes
+    refs += [(7, *works[7][:4], None, ""), (8, *works[8][:4], None, "")]
+    recs += [(7, *works[7][:4], None, ""), (109, *works[9][:4], None, "")]
+    refs, recs = spark.createDataFrame(refs, REF), spark.createDataFrame(recs, REC)
+    every = [(r.ref_id, r.record_id) for r in entities.matches(refs, recs).collect()]
+    found = entities.matched(refs, recs)
+    got = [(r.ref_id, r.record_id) for r in found.collect()]
+    assert len(every) > len(set(every)) and len(got) == len(set(got)) and set(got) == set(every)
+    assert {(7, 7), (107, 7), (8, 108), (9, 109)} <= set(got)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and plan.children().apply(0).nodeName() == "Project"
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_entities_lose_nothing_by_blocking(spark, monkeypatch):
     """Of the links that a comparison of all pairs finds, blocking finds at least 0.995."""
