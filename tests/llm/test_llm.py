@@ -98,6 +98,36 @@ def test_shards_keep_every_pair_within_the_bound():
             assert set(names.probes_of(a, 2)) & set(names.keys_of("".join(c))), (a, b, c)
 
 
+def test_few_shards_hold_every_neighbour(spark):
+    """The trie join finds what comparing all pairs finds, also two swaps, with few shards a token."""
+    for n in range(4, 30):
+        token = "".join(chr(97 + k % 26) for k in range(n))
+        assert len(names.probes_of(token, 1)) <= 7 and len(names.probes_of(token, 2)) <= 25
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(3, 9))) for _ in range(150)}
+    for n in (5, 8, 9, 10, 13):
+        word = "kdlmenofpgqhr"[:n]
+        once = {x for i in range(n) for x in (word[:i] + word[i + 1 :], word[:i] + "z" + word[i:], word[:i] + "y" + word[i + 1 :], word[:i] + word[i : i + 2][::-1] + word[i + 2 :])}
+        words |= once | {word} | {x[:i] + c + x[j:] for x in once for i in [rng.randrange(len(x) - 1)] for c, j in (("", i + 1), ("z", i), ("y", i + 1), (x[i : i + 2][::-1], i + 2))}
+    words = sorted(w for w in words if len(w) >= 3)
+    bound = {w: rng.choice((1, 2)) for w in words}
+    got = sorted(tuple(r) for r in names.neighbours(spark.createDataFrame(list(bound.items()), "token string, bound int"), 3).collect())
+    assert got == sorted((a, b, d) for a in words for b in words if a != b and abs(len(a) - len(b)) <= 2 and (d := canonical._distance(a, b)) <= bound[a])
+
+
+def test_names_are_read_once(spark):
+    """The list of names, which takes a pass over all references, is made once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(f"Ann{k} Borkmund", 1) for k in range(20)], "name string, n long")
+    assert names.linked_names(rows.mapInPandas(count, "name string, n long")).count() == 20 and seen.value == 20
+
+
 def test_links_are_followed_to_the_end(spark):
     links = spark.createDataFrame([(str(k), str(k + 1)) for k in range(1, 12)] + [("x", "5"), ("y", "z")], "entity string, top string")
     got = {r.entity: r.top for r in names.followed(links).collect()}
